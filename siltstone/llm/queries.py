@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact, minhash, packing, secrets, token_ids
+from . import exact, minhash, packing, secrets, suffix_dedup, token_ids
 from .common import table
 
 _ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
@@ -12,6 +12,10 @@ def op1_token_ids(spark, sf_dir):
     return token_ids.digest(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_minhash_dedup(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -28,7 +32,7 @@ def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_ids, op3_minhash_dedup, op4_exact_dedup, op9_secret_scan, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_ids, op2_suffix_dedup, op3_minhash_dedup, op4_exact_dedup, op9_secret_scan, op10_packing)}
 
 
 def _span_sql(kind: str, pattern: str, group: int, least: int) -> str:
