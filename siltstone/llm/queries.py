@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact, minhash, packing, secrets, suffix_dedup, token_ids
+from . import decontaminate, exact, html_text, minhash, packing, quality, secrets, suffix_dedup, token_ids
 from .common import table
 
 _ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
@@ -24,6 +24,18 @@ def op4_exact_dedup(spark, sf_dir):
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_html_text(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op7_quality(spark, sf_dir):
+    return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_decontamination(spark, sf_dir):
+    return decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_secret_scan(spark, sf_dir):
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -32,7 +44,13 @@ def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_ids, op2_suffix_dedup, op3_minhash_dedup, op4_exact_dedup, op9_secret_scan, op10_packing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_ids, op2_suffix_dedup, op3_minhash_dedup, op4_exact_dedup, op6_html_text, op7_quality,
+        op8_decontamination, op9_secret_scan, op10_packing,
+    )
+}
 
 
 def _span_sql(kind: str, pattern: str, group: int, least: int) -> str:
