@@ -59,7 +59,7 @@ def exact_groups(
     )
     if digest == "survivors":
         marked = rows.join(prefixes.withColumn("again", F.lit(True)), ["size", "prefix"], "left")
-        rows = marked.select("doc_id", "size", "prefix", F.when("again", F.sha2("raw", 256)).alias("sha"))
+        rows = marked.select("doc_id", "size", "prefix", F.when(F.col("again"), F.sha2("raw", 256)).alias("sha"))
     survivors = rows.where(F.col("sha").isNotNull())
     groups = (
         survivors.groupBy("size", "prefix", "sha")
@@ -82,8 +82,16 @@ def exact_groups(
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns as they were.
 
-    Rows that repeat a whole row leave one; a null id loses against any other.
+    Rows that repeat both id and text, null ids included, leave one of them.
     """
-    stays = exact_groups(docs, id_col, text_col, digest="survivors").where(F.col("kept")).select("doc_id")
-    kept = docs.join(stays.distinct(), docs[id_col].eqNullSafe(stays["doc_id"]), "left_semi")
-    return kept.dropDuplicates()
+    marked = exact_groups(docs, id_col, text_col)
+    gone = marked.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha")).distinct()
+    own_id, own_sha = "__siltstone_id", "__siltstone_sha"
+    text = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
+    keyed = docs.withColumns({own_id: F.col(id_col).cast("long"), own_sha: F.sha2(text, 256)})
+    same = F.col(own_id).eqNullSafe(F.col("gone_id")) & (F.col(own_sha) == F.col("gone_sha"))
+    left = keyed.join(gone, same, "left_anti")
+    repeats = marked.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1")
+    if not repeats.isEmpty():
+        left = left.dropDuplicates([own_id, own_sha])
+    return left.drop(own_id, own_sha)

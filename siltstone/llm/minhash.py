@@ -233,3 +233,12 @@ def near_duplicates(
         component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"),
     )
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each class, all columns as they were; texts without words all stay.
+
+    Rows with a null id take no part in classes and stay.
+    """
+    gone = near_duplicates(docs, id_col, text_col).where("not kept and doc_id is not null").select("doc_id").distinct()
+    return docs.join(gone, docs[id_col] == gone["doc_id"], "left_anti")
