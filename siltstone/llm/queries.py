@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact, html_text, minhash, packing, quality, secrets, suffix_dedup, token_ids
+from . import decontaminate, exact, html_text, line_dedup, minhash, packing, quality, secrets, suffix_dedup, token_ids
 from .common import table
 
 _ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
@@ -24,6 +24,10 @@ def op4_exact_dedup(spark, sf_dir):
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark, sf_dir):
+    return line_dedup.deduplicate_lines(table(spark, sf_dir, "documents"))
+
+
 def op6_html_text(spark, sf_dir):
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -47,8 +51,8 @@ def op10_packing(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_token_ids, op2_suffix_dedup, op3_minhash_dedup, op4_exact_dedup, op6_html_text, op7_quality,
-        op8_decontamination, op9_secret_scan, op10_packing,
+        op1_token_ids, op2_suffix_dedup, op3_minhash_dedup, op4_exact_dedup, op5_line_dedup, op6_html_text,
+        op7_quality, op8_decontamination, op9_secret_scan, op10_packing,
     )
 }
 
