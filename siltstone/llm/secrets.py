@@ -77,7 +77,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("t"))
     t = F.col("t")
-    base = rows.select("doc_id", *_base(t), F.when(t.contains("AKIA"), F.sha2(t, 256)).alias("text_key"))
+    base = rows.select("doc_id", *_base(t), _key(t).alias("text_key"))
     weak_of = _linked(rows.where(t.contains("AKIA")), scope)
     whole = base.join(weak_of, "text_key", "left").withColumn("base", F.concat("assign", "access", "hex"))
     weak = F.coalesce("weak", F.array().cast("array<struct<start:int,end:int,kind:int>>"))
@@ -91,6 +91,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
     )
 
 
+def _key(t: Column) -> Column:
+    """The text's hash where an identifier may be; other texts only need to be dealt evenly."""
+    return F.when(t.contains("AKIA"), F.sha2(t, 256)).otherwise(F.concat(F.lit("-"), F.xxhash64("doc_id").cast("string")))
+
+
 def _base(t: Column) -> list[Column]:
     return [
         _spans(t, ASSIGN, "assign", F.regexp_extract_all(t, F.lit(ASSIGN), F.lit(2)), ASSIGN_LEAST).alias("assign"),
@@ -104,7 +109,7 @@ def _linked(rows: DataFrame, scope: int) -> DataFrame:
     t = F.col("t")
     bare = _spans(t, BARE, "secret", least=BARE_LENGTH, most=BARE_LENGTH)
     parts = rows.select(
-        F.sha2(t, 256).alias("text_key"), *_base(t), F.concat(bare, _spans(t, ENDPOINT, "endpoint")).alias("weak")
+        _key(t).alias("text_key"), *_base(t), F.concat(bare, _spans(t, ENDPOINT, "endpoint")).alias("weak")
     )
     parts = parts.where((F.size("access") > 0) & (F.size("weak") > 0)).dropDuplicates(["text_key"])
     low, high = F.col("a.start") - scope, F.col("a.end") + scope
