@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import names
-from .operators import asof, chunking, codec, features, fingerprint, methods, similarity, store
+from .operators import asof, chunking, features, fingerprint, methods, similarity, store, tar
 from .plans import analysis, metrics
 from .plans.storage import save
 from .streaming import ingest
@@ -564,3 +564,50 @@ def union_runs(spark, d):
 
     items = _table(spark, d, "benchmark")
     return union_logs(*(items.where(f"item_id % {k} = 0").select("text").distinct() for k in (2, 3)))
+
+
+# ---------------------------------------------------------------- archives
+
+
+def _archives(spark, d):
+    named = _content(spark, d).withColumn("name", F.concat(F.lit("v"), F.col("version").cast("string"), F.lit("/"), "source", F.lit("/"), "lang", F.lit(".txt")))
+    return tar.pack_archives(named, "name", "content")
+
+
+@query("""SELECT doc_id AS version, source || '/' || lang || '.txt' AS name, octet_length(encode(coalesce(text, '')))::BIGINT AS size, 'file' AS flag,
+ ((octet_length(encode(coalesce(text, ''))) + 511) // 512 * 512)::BIGINT AS padded, '/' || source AS dir_key FROM documents""")
+def archive_members(spark, d):
+    """Header fields of each document's archive, read by column functions."""
+    head = _archives(spark, d).select("version", F.substring("content", 1, 512).alias("h"))
+    h = F.col("h")
+    full = names.member_name(h)
+    return head.select(
+        "version", names.without_first(full).alias("name"), names.octal_size(h).alias("size"), names.type_flag(h).alias("flag"),
+        names.pad_to_block(names.octal_size(h)).alias("padded"), names.directory_key(full).alias("dir_key"),
+    )
+
+
+_ARCHIVE = """SELECT doc_id AS version, count(*) AS same FROM documents GROUP BY doc_id"""
+
+
+@query(_ARCHIVE)
+def archive_restore(spark, d):
+    """Archives cut by members with grouped headers and big members cut by content, then rebuilt: equal ones."""
+    archives = save(spark, _archives(spark, d), "archives")
+    chunks = tar.chunk_archives(archives, headers=tar.HEADERS, big=2048, least=256, average=1024, most=4096)
+    return _equal(archives, tar.restore_archives(chunks))
+
+
+@query(_ARCHIVE)
+def migrated_restore(spark, d):
+    """Archives rewritten with headers last and back."""
+    archives = save(spark, _archives(spark, d), "archives")
+    moved = archives.select("version", tar.rewritten(tar.migrate, "content").alias("content"))
+    return _equal(archives, moved.select("version", tar.rewritten(tar.restore_migrated, "content").alias("content")))
+
+
+def _equal(a, b):
+    other = b.select("version", F.sha2("content", 256).alias("sha"))
+    same = a.select("version", F.sha2("content", 256).alias("own")).join(other, "version").where("own = sha")
+    return same.groupBy("version").agg(F.count("*").alias("same"))
+
