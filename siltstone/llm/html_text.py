@@ -49,7 +49,7 @@ _CLASSES = frozenset(
     "complementary contentinfo alert".split()
 )
 #: An element of the first kind closes an open one of the second.
-_CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
 def blocks(page: str) -> list[tuple[str, int, int, int]]:
@@ -111,11 +111,13 @@ def blocks(page: str) -> list[tuple[str, int, int, int]]:
                     break
         elif name not in _VOID and not rest.endswith("/"):
             links = 0
+            if stack and stack[-1][0] == "p":  # a paragraph holds no blocks
+                stack.pop()
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] in _CLOSES.get(name, ()):
                     del stack[k:]
                     break
-                if stack[k][0] in ("div", "article", "section", "table", "ul", "ol", "dl", "td"):
+                if stack[k][0] not in ("p", "div", "address"):
                     break
             above = stack[-1][1] if stack else 0
             stack.append((name, _hint(name, rest, above)))
