@@ -7,6 +7,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.storage import save
 from . import codec
@@ -26,7 +27,7 @@ def next_fit(df: DataFrame, order: str, size: str, capacity: int = CONTAINER) ->
     ranged = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_range", F.spark_partition_id())
     ranged = save(spark, ranged, "ranged")
 
-    def ends(_, pdf: pd.DataFrame) -> pd.DataFrame:
+    def ends(_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         sizes = pdf.sort_values(order)[size].to_numpy(np.int64)
         n, total = len(sizes), np.concatenate(([0], np.cumsum(sizes)))
         # From a fresh container at row k: the row that opens the next one, then fill and count at the end.
@@ -63,7 +64,10 @@ def next_fit(df: DataFrame, order: str, size: str, capacity: int = CONTAINER) ->
         reach = [x for x in rows if x[0] <= room] or rows[:1]
         state, opened = reach[-1][1], opened + reach[-1][2]
 
-    def assign(_, pdf: pd.DataFrame) -> pd.DataFrame:
+    schema = T.StructType(df.schema.fields).add("container_id", "long").add("container_offset", "long")
+    names = schema.names
+
+    def assign(_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
         fill, number = entry[int(pdf["_range"].iloc[0])]
         ids, offsets = [], []
@@ -74,11 +78,9 @@ def next_fit(df: DataFrame, order: str, size: str, capacity: int = CONTAINER) ->
             ids.append(number)
             offsets.append(fill)
             fill += s
-        return pdf.assign(container_id=ids, container_offset=offsets).drop(columns="_range")
+        return pdf.assign(container_id=ids, container_offset=offsets)[names]
 
-    schema = df.schema.add("container_id", "long").add("container_offset", "long")
-    names = [f.name for f in schema]
-    return ranged.groupBy("_range").applyInPandas(lambda k, p: assign(k, p)[names], schema)
+    return ranged.groupBy("_range").applyInPandas(assign, schema)
 
 
 def write_containers(stored: DataFrame, path: str, capacity: int = CONTAINER) -> None:

@@ -15,9 +15,11 @@ FP_ENTRY, SF_ENTRY, HYBRID_SF_ENTRY = 120, 120, 160
 #: The name-aware index: fingerprint, metadata and recipe of each unique chunk, then each base, then each name.
 UNIQUE_ENTRY, BASE_ENTRY, NAME_ENTRY = 40 + 64 + 8, 48, 12
 
-is_base = F.col("store_kind").startswith("base")
-is_delta = F.col("store_kind").startswith("delta")
-first = F.col("is_first")
+
+def _conditions() -> tuple[Column, Column, Column]:
+    """Whether a row is the first of its chunk, a base's, a delta's."""
+    kind = F.col("store_kind")
+    return F.col("is_first"), kind.startswith("base"), kind.startswith("delta")
 
 
 def _sum(value: str, when: Column) -> Column:
@@ -26,6 +28,7 @@ def _sum(value: str, when: Column) -> Column:
 
 def counts(events: DataFrame) -> DataFrame:
     """One row: logical, unique, base and delta chunks and bytes, ratios."""
+    first, is_base, is_delta = _conditions()
     logical, stored = F.sum("chunk_size"), _sum("save_size", first)
     delta_in, delta_out = _sum("chunk_size", first & is_delta), _sum("save_size", first & is_delta)
     ratio = F.when(first & is_delta, F.col("chunk_size") / F.col("save_size"))
@@ -50,6 +53,7 @@ def counts(events: DataFrame) -> DataFrame:
 
 def ocr_without_headers(events: DataFrame) -> DataFrame:
     """The ratio against a tool that keeps headers elsewhere: unique headers leave both sides."""
+    first, _, _ = _conditions()
     header = first & (F.col("kind") == "header")
     return events.agg(
         F.round(
@@ -60,6 +64,7 @@ def ocr_without_headers(events: DataFrame) -> DataFrame:
 
 def by_kind(events: DataFrame) -> DataFrame:
     """Unique chunks by kind: number, bytes before, bytes stored, bytes saved."""
+    first, _, _ = _conditions()
     return events.where(first).groupBy("kind").agg(
         F.count("*").alias("n"), F.sum("chunk_size").alias("original"), F.sum("save_size").alias("stored"),
         F.sum(F.col("chunk_size") - F.col("save_size")).alias("saved"),
@@ -68,6 +73,7 @@ def by_kind(events: DataFrame) -> DataFrame:
 
 def header_crosstab(events: DataFrame) -> DataFrame:
     """Header and other chunks, bases and deltas: logical and unique numbers and bytes."""
+    first, _, is_delta = _conditions()
     return events.groupBy((F.col("kind") == "header").alias("is_header"), is_delta.alias("is_delta")).agg(
         F.count("*").alias("logical_n"), F.sum("chunk_size").alias("logical_bytes"),
         F.count_if(first).alias("unique_n"), _sum("save_size", first).alias("unique_bytes"),
@@ -76,6 +82,7 @@ def header_crosstab(events: DataFrame) -> DataFrame:
 
 def stages(events: DataFrame) -> DataFrame:
     """Bytes each stage saves, and the ratio after each: duplicates, then deltas, then local compression."""
+    first, is_base, is_delta = _conditions()
     sums = events.agg(
         F.sum("chunk_size").alias("logical"),
         _sum("chunk_size", ~first).alias("dedup_saved"),
@@ -96,6 +103,7 @@ def stages(events: DataFrame) -> DataFrame:
 
 def overhead(events: DataFrame, hybrid: bool = False, names: str | None = None) -> DataFrame:
     """Index and recipe bytes of the linear models."""
+    first, is_base, _ = _conditions()
     unique, base = F.count_if(first), F.count_if(first & is_base)
     sf = HYBRID_SF_ENTRY if hybrid else SF_ENTRY
     named = F.countDistinct(F.when(first, F.col(names))) if names else F.lit(0)
@@ -109,6 +117,7 @@ def overhead(events: DataFrame, hybrid: bool = False, names: str | None = None)
 
 def per_version(events: DataFrame) -> DataFrame:
     """Each version's own bytes and the totals so far; one row a version enters the window."""
+    first, _, _ = _conditions()
     own = events.groupBy("version").agg(
         F.count("*").alias("chunks"), F.sum("chunk_size").alias("logical_bytes"), _sum("save_size", first).alias("stored_bytes")
     )
