@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import decontaminate, exact, html_text, line_dedup, minhash, packing, quality, secrets, suffix_dedup, token_ids
 from .common import table
 
+# The pattern of operator 9 for an engine whose case folding goes beyond ASCII.
 _ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
 
 
@@ -57,23 +58,69 @@ QUERIES = {
 }
 
 
-def _span_sql(kind: str, pattern: str, group: int, least: int) -> str:
-    """Spans of one kind of the texts ``t``, with starts from the pieces between matches."""
+def _span_sql(kind: int, pattern: str, group: int, least: int, most: int = 1 << 30) -> str:
+    """Spans of one kind in the texts ``t``, with starts from the pieces between matches."""
     return f"""
-      SELECT doc_id, {kind!r} AS kind, {("assign", "access", "hex", "secret", "endpoint").index(kind)} AS k, i,
-             list_sum(list_transform(list_slice(gaps, 1, i), lambda g: length(g)))::BIGINT
-               + coalesce(list_sum(list_transform(list_slice(hits, 1, i - 1), lambda h: length(h))), 0)::BIGINT AS s,
-             length(hits[i]) AS n, length(vals[i]) AS v
-      FROM (SELECT doc_id, hits, vals, gaps, unnest(range(1, len(hits) + 1)) AS i FROM (
-        SELECT doc_id, regexp_extract_all(t, '{pattern}') AS hits, regexp_extract_all(t, '{pattern}', {group}) AS vals,
-               string_split_regex(t, '{pattern}') AS gaps FROM texts))
-      WHERE length(vals[i]) >= {least}"""
-
+      SELECT doc_id, {kind} AS k, a + b AS s, a + b + length(hits[i]) AS e FROM (
+        SELECT doc_id, i, hits, vals, list_sum(list_transform(gaps[1:i], lambda g: length(g)))::BIGINT AS a,
+               coalesce(list_sum(list_transform(hits[1:i - 1], lambda h: length(h))), 0)::BIGINT AS b
+        FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM (
+          SELECT doc_id, regexp_extract_all(t, '{pattern}', 0) AS hits, regexp_extract_all(t, '{pattern}', {group}) AS vals,
+                 string_split_regex(t, '{pattern}') AS gaps FROM texts)))
+      WHERE length(vals[i]) BETWEEN {least} AND {most}"""
+
+
+_JOINED = "coalesce(string_agg(['assign', 'access', 'hex', 'secret', 'endpoint'][k + 1] || ':' || s || ':' || e, ',' ORDER BY s, k), '')"
+
+_SECRETS = f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+ base AS ({_span_sql(0, _ASSIGN, 2, secrets.ASSIGN_LEAST)} UNION ALL {_span_sql(1, secrets.ACCESS, 0, 0)} UNION ALL {_span_sql(2, secrets.HEX, 0, 0)}),
+ bare AS ({_span_sql(3, secrets.BARE, 0, secrets.BARE_LENGTH, secrets.BARE_LENGTH)} UNION ALL {_span_sql(4, secrets.ENDPOINT.replace("(?::[0-9]+)?", "(:[0-9]+)?"), 0, 0)}),
+ weak AS (SELECT * FROM bare w WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = w.doc_id AND b.s < w.e AND b.e > w.s)),
+ near AS (SELECT w.*, a.s AS anchor FROM weak w JOIN base a ON a.doc_id = w.doc_id AND a.k = 1 AND w.s < a.e + {secrets.SCOPE} AND w.e > a.s - {secrets.SCOPE}),
+ linked AS (SELECT DISTINCT doc_id, k, s, e FROM near n WHERE EXISTS (SELECT 1 FROM near m WHERE m.doc_id = n.doc_id AND m.anchor = n.anchor AND m.k = 3)),
+ found AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex, {_JOINED} AS joined FROM base GROUP BY doc_id),
+ whole AS (SELECT doc_id, {_JOINED} AS spans FROM (SELECT * FROM base UNION ALL SELECT * FROM linked) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+ sha256(coalesce(joined, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts LEFT JOIN found USING (doc_id) LEFT JOIN whole USING (doc_id)"""
+
+_REPEATS = """
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+ y AS (SELECT doc_id, q, length(h) // 2 - 49 AS n, substr(h, (2 * q + 1)::BIGINT, 610) AS piece FROM (SELECT *, unnest(range(0, (length(h) // 2 - 49)::BIGINT, 256)) AS q FROM b)),
+ w AS (SELECT doc_id, q + i AS p, substr(piece, (2 * i + 1)::BIGINT, 100) AS x FROM (SELECT *, unnest(range(0, least(256, n - q)::BIGINT)) AS i FROM y)),
+ f AS (SELECT x, min(doc_id) AS low FROM w GROUP BY x HAVING min(doc_id) < max(doc_id)),
+ g AS (SELECT w.doc_id, w.p FROM w JOIN f ON w.x = f.x WHERE f.low < w.doc_id),
+ i AS (SELECT doc_id, p, sum(j) OVER (PARTITION BY doc_id ORDER BY p) AS island FROM
+   (SELECT *, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) > 50 THEN 1 ELSE 0 END AS j FROM g)),
+ s AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS z FROM i GROUP BY doc_id, island),
+ q AS (SELECT s.*, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM s),
+ k AS (SELECT q.doc_id, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans, max(z) AS last,
+   string_agg(substr(h, (2 * before + 1)::BIGINT, (2 * (a - before))::BIGINT), '' ORDER BY a) AS kept FROM q JOIN b USING (doc_id) GROUP BY q.doc_id)
+SELECT b.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+ sha256(unhex(coalesce(kept || substr(h, (2 * last + 1)::BIGINT), h))) AS kept_sha256
+FROM b LEFT JOIN k USING (doc_id)"""
+
+_NEAR = """
+WITH RECURSIVE t AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+   '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+ s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+   WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS x FROM t),
+ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+ l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+ e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+ r AS (SELECT doc_id AS id, doc_id AS seen FROM t UNION SELECT r.id, e.b FROM r JOIN e ON r.seen = e.a)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id, m.component_id = doc_id AS kept
+FROM t LEFT JOIN n USING (doc_id) JOIN (SELECT id AS doc_id, min(seen) AS component_id FROM r GROUP BY id) m USING (doc_id)"""
 
 ORACLE_SQL = {
+    "op2_suffix_dedup": _REPEATS,
+    "op3_minhash_dedup": _NEAR,
     "op4_exact_dedup": """
       WITH t AS (SELECT doc_id, sha256(coalesce(text, '')) AS sha FROM documents),
            g AS (SELECT sha, max(doc_id) AS keep_id, count(*) AS n FROM t GROUP BY sha)
       SELECT t.doc_id, g.keep_id, g.n AS group_size, t.doc_id = g.keep_id AS kept, t.sha AS text_sha256
       FROM t JOIN g ON t.sha = g.sha""",
+    "op9_secret_scan": _SECRETS,
 }
