@@ -49,15 +49,26 @@ def directory_key(path: Column) -> Column:
 _LOW = 0x1B3
 
 
+def _codes(name: Column, limit: int) -> Column:
+    pairs = F.regexp_replace(F.hex(F.substring(F.encode(name, "UTF-8"), 1, limit)), "(..)", "$1 ")
+    return F.transform(F.filter(F.split(pairs, " "), lambda x: x != ""), lambda x: F.conv(x, 16, 10).cast("long"))
+
+
+def name_hash_16(name: Column, limit: int = 101) -> Column:
+    """``h = h * 31 + c`` mod 2**16."""
+    return F.aggregate(_codes(name, limit), F.lit(0).cast("long"), lambda h, c: (h * 31 + c) % 65536)
+
+
+#: Bytes that count of a name in a header, and of a long name.
+NAME_LIMIT, LONG_NAME_LIMIT = 101, 8197
+
+
 def name_hash(name: Column, limit: int = 101) -> Column:
     """``h = h * (2**40 + 0x1B3) + c`` mod 2**64 over the first bytes, as 16 hex digits.
 
     The two halves are kept apart, so nothing overflows a signed long.
     """
-    codes = F.transform(
-        F.filter(F.split(F.regexp_replace(F.hex(F.substring(F.encode(name, "UTF-8"), 1, limit)), "(..)", "$1 "), " "), lambda x: x != ""),
-        lambda x: F.conv(x, 16, 10).cast("long"),
-    )
+    codes = _codes(name, limit)
     word = 0xFFFFFFFF
 
     def step(h: Column, c: Column) -> Column:

@@ -29,6 +29,9 @@ METHODS = {
     "locality": None,
 }
 
+#: How much bases are taken to shrink until a run's own figure is known.
+BASE_RATIO = 2.0
+
 
 def leaders(sfs: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """(chunk_id, is_base) of every chunk of ``sfs`` (chunk_id, sf), as a scan in id order decides."""
@@ -75,10 +78,7 @@ def feature_matches(index: DataFrame, kind: str, lookup: str, exact: bool = True
     found = similarity.latest_before(
         sfs, ["tier", "sf"], "chunk_id", F.when(base, F.struct("chunk_id", "version")), "match"
     ).where("match is not null")
-    for tier, age in (ages or {}).items():
-        found = found.where((F.col("tier") != tier) | (F.col("version") - F.col("match.version") <= age))
-    best = F.min(F.struct("tier", "sf_pos", F.col("match.chunk_id").alias("base_id"))).alias("hit")
-    return found.groupBy("chunk_id").agg(best).select("chunk_id", "hit.base_id")
+    return similarity.best_tier(found, ages).select("chunk_id", "base_id")
 
 
 def fixed_filter(threshold: int):
@@ -99,7 +99,8 @@ def adaptive_filter(local_ratio: float, delta_gain: float | None, deltas: int, b
 
 
 def reduce(
-    index: DataFrame, method: str = "odess", exact: bool = True, level: int = 1, accept=None, positions: DataFrame | None = None
+    index: DataFrame, method: str = "odess", exact: bool = True, level: int = 1, accept=None, positions: DataFrame | None = None,
+    least_ratio: float | None = None,
 ) -> DataFrame:
     """Stored chunks: chunk_id, store_kind, base_chunk_id, chunk_size, save_size, codec, payload.
 
@@ -107,7 +108,9 @@ def reduce(
     name_hash. A delta that is not smaller than its chunk is stored as a base would
     be, and nobody's base. ``accept`` (size, saved size -> condition) filters name
     deltas of ``hybrid``; a rejected one still stands when features find the same
-    base. ``locality`` takes its matches from ``positions`` (chunk_id, guess).
+    base. ``locality`` takes its matches from ``positions`` (chunk_id, guess). A delta
+    must shrink its chunk by ``least_ratio`` at least, which for ``palantir`` is what
+    bases shrink by before any is known.
     """
     spark = index.sparkSession
     index = save(spark, index, "index")
@@ -136,7 +139,9 @@ def reduce(
         matches.join(bases, "base_id"), "chunk_id", "left"
     )
     coded = joined.withColumn("delta", codec.delta("chunk", "base_chunk")).withColumn("local", codec.local_codec(level)("chunk"))
-    use = F.col("delta").isNotNull() & (F.octet_length("delta") < F.col("chunk_size"))
+    least_ratio = least_ratio or (BASE_RATIO if method == "palantir" else 1.0)
+    saved = F.octet_length("delta")
+    use = F.col("delta").isNotNull() & (saved < F.col("chunk_size")) & (F.col("chunk_size") >= least_ratio * saved)
     payload = F.when(use, F.col("delta")).otherwise(F.col("local.payload"))
     kind = F.when(use, F.concat(F.lit("delta_"), "by")).when(F.col("local.codec") == "raw", "base_raw").otherwise("base_lz")
     return coded.select(

@@ -34,13 +34,22 @@ def newest_match(sfs: DataFrame, base: Column | None = None) -> DataFrame:
     return found.groupBy("chunk_id").agg(F.min(F.struct("sf_pos", "base_id")).alias("hit")).select("chunk_id", "hit.base_id")
 
 
-def tiered_match(sfs: DataFrame, ages: dict[int, int] | None = None) -> DataFrame:
+def tiered_match(sfs: DataFrame, ages: dict[int, int] | None = None, order: str = "chunk_id", probe: Column | None = None) -> DataFrame:
     """(chunk_id, tier, base_id): all of tier 1 first, then 2, then 3; each super-feature has its latest base only.
 
-    With ``ages``, a tier's match must be at most so many versions old; ``sfs`` then has ``version``.
+    With ``ages``, a tier's match must be at most so many versions old; ``sfs`` then has
+    ``version``. For duplicates that refresh their base, ``sfs`` has a row for every
+    occurrence, by ``order``; ``probe`` says which rows ask.
     """
     value = F.struct("chunk_id", "version") if ages else F.struct("chunk_id")
-    found = latest_before(sfs, ["tier", "sf"], "chunk_id", value, "match").where("match is not null")
+    found = latest_before(sfs, ["tier", "sf"], order, value, "match").where("match is not null")
+    if probe is not None:
+        found = found.where(probe)
+    return best_tier(found, ages)
+
+
+def best_tier(found: DataFrame, ages: dict[int, int] | None) -> DataFrame:
+    """The first tier and place whose ``match`` (chunk_id, version) is young enough."""
     for tier, age in (ages or {}).items():
         found = found.where((F.col("tier") != tier) | (F.col("version") - F.col("match.version") <= age))
     best = F.min(F.struct("tier", "sf_pos", F.col("match.chunk_id").alias("base_id"))).alias("hit")
@@ -96,3 +105,12 @@ def motivation_cases(feature: DataFrame, name: DataFrame) -> DataFrame:
     )
     case = F.when(F.col("n").isNull(), "only_feature").when(F.col("f").isNull(), "only_name").when(F.col("f") == F.col("n"), "same").otherwise("different")
     return both.groupBy(case.alias("case")).agg(F.count("*").alias("n"))
+
+
+def put_records(records: DataFrame, new: DataFrame) -> DataFrame:
+    """Feature records (key, ...) with those of ``new`` in place of their older ones."""
+    return delete_records(records, new).unionByName(new)
+
+
+def delete_records(records: DataFrame, gone: DataFrame) -> DataFrame:
+    return records.join(gone.select("key").distinct(), "key", "left_anti")

@@ -54,6 +54,11 @@ def student_interval(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return out.select(*keys, "n", F.round("mean", 4).alias("mean"), F.round(width, 4).alias("half_width"))
 
 
+def interval_report(df: DataFrame, names: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """A row for every wanted combination in ``names``; those without values have none."""
+    return names.join(student_interval(df, keys, value), keys, "left")
+
+
 def delta_ratio(dump: DataFrame) -> DataFrame:
     """Over rows with a delta flag other than 0 and 1 and a stored size: sum, number and mean of original by stored."""
     flag = F.expr("try_cast(delta_flag AS int)")

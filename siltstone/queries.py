@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import names
+from .functions.rolling import windows
 from .operators import asof, chunking, features, fingerprint, methods, similarity, store, tar
 from .plans import analysis, metrics
 from .plans.storage import save
@@ -264,6 +267,12 @@ def name_hash(spark, d):
     return named.select("page_id", "name", names.name_hash(F.col("name")).alias("name_hash"))
 
 
+@query(f"""WITH n AS (SELECT page_id, list_transform(string_split({_PATH}, ''), lambda c: ord(c)::BIGINT) AS codes FROM pages)
+ SELECT page_id, list_reduce(list_prepend(0::BIGINT, codes), lambda h, c: (h * 31 + c) % 65536) AS short_hash FROM n""")
+def short_name_hash(spark, d):
+    return _pages(spark, d).select("page_id", names.name_hash_16(F.col("path")).alias("short_hash"))
+
+
 @query(f"""WITH p AS (SELECT page_id, {_PATH} AS path FROM pages), t AS (SELECT page_id, path, regexp_extract(path, '(/.*)$', 1) AS tail FROM p),
  s AS (SELECT *, length(tail) - length(replace(tail, '/', '')) AS n, string_split(tail, '/') AS parts FROM t)
  SELECT page_id, path, CASE WHEN n - 1 > 2 THEN array_to_string(parts[1:n - 1], '/') WHEN n > 0 THEN array_to_string(parts[1:n], '/') ELSE '' END AS dir_key FROM s""")
@@ -372,6 +381,20 @@ def aged_lookup(spark, d):
     return similarity.tiered_match(_word_sfs(spark, d), similarity.AGES)
 
 
+@query(_SF + """, fx AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS chunk_id FROM documents),
+ oc AS (SELECT DISTINCT fx.doc_id AS ord, fx.chunk_id, sf.version, tier, min(sf_pos) AS sf_pos, sf FROM sf JOIN fx ON sf.chunk_id = fx.doc_id GROUP BY ALL)
+ SELECT chunk_id, tier, base_id FROM (SELECT chunk_id, tier, o AS base_id, row_number() OVER (PARTITION BY chunk_id ORDER BY tier, sf_pos, o) AS r FROM
+ (SELECT *, lag(chunk_id) OVER w AS o, lag(version) OVER w AS ov FROM oc WINDOW w AS (PARTITION BY tier, sf ORDER BY ord))
+ WHERE o IS NOT NULL AND ord = chunk_id AND (tier = 1 OR tier = 2 AND version - ov <= 5 OR tier = 3 AND version - ov <= 2)) WHERE r = 1""")
+def refreshed_lookup(spark, d):
+    """Aged lookup where a duplicate refreshes the super-features of what it repeats."""
+    docs = _table(spark, d, "documents").select(F.col("doc_id").alias("ord"), F.sha2(chunking.utf8("text"), 256).alias("fp"))
+    firsts = docs.groupBy("fp").agg(F.min("ord").alias("chunk_id"))
+    owners = docs.join(firsts, "fp").select("ord", "chunk_id")
+    sfs = _word_sfs(spark, d).withColumnRenamed("chunk_id", "ord").join(owners, "ord")
+    return similarity.tiered_match(sfs, similarity.AGES, "ord", F.col("ord") == F.col("chunk_id"))
+
+
 _NAMES = """nm AS (SELECT doc_id AS chunk_id, lag(doc_id) OVER (PARTITION BY source, lang, n_chars // 100 ORDER BY doc_id) AS base_id FROM documents)"""
 
 
@@ -522,12 +545,25 @@ def ci_normal(spark, d):
     return analysis.normal_interval(_log(spark, d), ["dataset", "depth"], "ms")
 
 
-@query()
+_V = "(n - 1)::DOUBLE"
+_T975 = f"(1.959963984540054 + 2.3722712338 / {_V} + 2.8224986167 / ({_V} * {_V}) + 2.5558497259 / ({_V} * {_V} * {_V}) + 1.589534 / ({_V} * {_V} * {_V} * {_V}))"
+_STUDENT = _O + f""", g AS (SELECT dataset, depth, count(*) AS n, avg(ms) AS m, stddev_samp(ms) AS sd FROM l GROUP BY ALL),
+ st AS (SELECT dataset, depth, n, round(m, 4) AS mean, round(CASE WHEN n < 2 THEN 0 ELSE {_T975} * sd / sqrt(n) END, 4) AS half_width FROM g) """
+
+
+@query(_STUDENT + "SELECT * FROM st")
 def ci_student(spark, d):
-    """Checked against tabulated quantiles in the tests."""
     return analysis.student_interval(_log(spark, d), ["dataset", "depth"], "ms")
 
 
+@query(_STUDENT + """SELECT w.dataset, w.depth, n, mean, half_width FROM (SELECT * FROM (SELECT unnest(['1-URGENT', '2-HIGH', 'none']) AS dataset) a
+ CROSS JOIN (SELECT unnest(['F', 'O']) AS depth) b) w LEFT JOIN st ON st.dataset = w.dataset AND st.depth = w.depth""")
+def interval_report(spark, d):
+    """Means of wanted groups, one of which the log lacks."""
+    wanted = analysis.sweep(spark, dataset=["1-URGENT", "2-HIGH", "none"], depth=["F", "O"])
+    return analysis.interval_report(_log(spark, d), wanted, ["dataset", "depth"], "ms")
+
+
 @query("""SELECT ts::VARCHAR AS day, max(CASE WHEN event_type = 'click' THEN n END) AS click, max(CASE WHEN event_type = 'view' THEN n END) AS "view",
  max(CASE WHEN event_type = 'purchase' THEN n END) AS purchase FROM (SELECT ts::DATE AS ts, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY 1""")
 def pivot_counts(spark, d):
@@ -611,3 +647,39 @@ def _equal(a, b):
     same = a.select("version", F.sha2("content", 256).alias("own")).join(other, "version").where("own = sha")
     return same.groupBy("version").agg(F.count("*").alias("same"))
 
+
+
+# ---------------------------------------------------------------- sampled features in 32 bits, so that SQL can follow
+
+
+def _doubling_sql() -> str:
+    """The gear hash of every byte place, ``h = 2 h + g`` mod 2**32, by doubling the window five times."""
+    steps, last = [], "h0"
+    for k in (1, 2, 4, 8, 16):
+        steps.append(
+            f"h{k} AS (SELECT doc_id, i, (h + (coalesce(lag(h, {k}) OVER (PARTITION BY doc_id ORDER BY i), 0) << {k})) & 4294967295 AS h FROM {last})"
+        )
+        last = f"h{k}"
+    return ", ".join(steps)
+
+
+@query(f"""WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+ y AS (SELECT doc_id, q, length(x) // 2 AS n, substr(x, (2 * q + 1)::BIGINT, 512) AS piece FROM (SELECT *, unnest(range(0, (length(x) // 2)::BIGINT, 256)) AS q FROM b)),
+ h0 AS (SELECT doc_id, q + i AS i, (('0x' || substr(piece, (2 * i + 1)::BIGINT, 2))::BIGINT * 2654435761 + 12345) & 4294967295 AS h
+        FROM (SELECT *, unnest(range(0, least(256, n - q)::BIGINT)) AS i FROM y)), {_doubling_sql()}
+ SELECT doc_id, max(h) AS top, max((h * 40503 + 7) & 4294967295) AS mapped, count(*) AS samples FROM h16 WHERE h & 127 = 0 GROUP BY doc_id""")
+def sampled_features_32(spark, d):
+    """The greatest sampled gear hash of each text, as it is and under a linear map, and the samples' number."""
+    @F.pandas_udf("struct<top:long,mapped:long,samples:long>")
+    def run(content: pd.Series) -> pd.DataFrame:
+        out = []
+        for data in content:
+            gear = (np.frombuffer(bytes(data), np.uint8).astype(np.uint64) * np.uint64(2654435761) + np.uint64(12345)) & np.uint64(0xFFFFFFFF)
+            h = windows(np.concatenate((np.zeros(31, np.uint64), gear)), 2, 32) & np.uint64(0xFFFFFFFF)
+            h = h[h & np.uint64(127) == 0]
+            mapped = (h * np.uint64(40503) + np.uint64(7)) & np.uint64(0xFFFFFFFF)
+            out.append((int(h.max()), int(mapped.max()), len(h)) if len(h) else (None, None, 0))
+        return pd.DataFrame(out, columns=["top", "mapped", "samples"])
+
+    found = _content(spark, d).select(F.col("version").alias("doc_id"), run("content").alias("f"))
+    return found.select("doc_id", "f.*").where("samples > 0")
