@@ -46,8 +46,8 @@ from .shingles import mix64
 
 WINDOW = 50
 GRAM = 24
-BLOCK_BYTES = 4 << 20
-BUCKET_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
+BUCKET_BYTES = 4 << 20
 #: An anchor in more blocks than this sends its strings one by one.
 HOT_BLOCKS = 4096
 
@@ -135,7 +135,7 @@ def _rows_hash(rows: np.ndarray) -> np.ndarray:
 
 
 def _bytes_at(text: np.ndarray, begins: np.ndarray, width: int) -> np.ndarray:
-    return text[begins[:, None] + np.arange(width)]
+    return np.lib.stride_tricks.sliding_window_view(text, width)[begins] if len(begins) else np.empty((0, width), np.uint8)
 
 
 class _Block:
@@ -188,17 +188,19 @@ class _Block:
         left, right = place - first, last + window - place
         self.rows = np.zeros((len(place), -(-(side + window + 2) // 8) * 8), np.uint8)
         padded = np.concatenate((np.zeros(side, np.uint8), self.text, np.zeros(window, np.uint8)))
-        span = np.arange(side)
-        self.rows[:, :side] = np.where(span < left[:, None], padded[place[:, None] + side - 1 - span], 0)
-        span = np.arange(window)
-        self.rows[:, side : side + window] = np.where(span < right[:, None], padded[place[:, None] + side + span], 0)
+        self.rows[:, :side] = _bytes_at(padded, place, side)[:, ::-1]
+        self.rows[:, side : side + window] = _bytes_at(padded, place + side, window)
+        # Lengths are below 256: one byte a comparison.
+        self.rows[:, :side] *= np.arange(side, dtype=np.uint8) < left.astype(np.uint8)[:, None]
+        self.rows[:, side : side + window] *= np.arange(window, dtype=np.uint8) < right.astype(np.uint8)[:, None]
         self.rows[:, side + window], self.rows[:, side + window + 1] = left, right
         hashed = _rows_hash(self.rows)
         # Which bucket: by what all documents with the string agree on.
         grams = np.zeros((len(place), -(-window // 8) * 8), np.uint8)
         alone = np.concatenate((np.zeros(int((~single).sum()), bool), np.ones(len(place) - int((~single).sum()), bool)))
-        width = np.where(alone, window, self.gram)
-        grams[:, :window] = np.where(np.arange(window) < width[:, None], self.rows[:, side : side + window], 0)
+        width = np.where(alone, window, self.gram).astype(np.uint8)
+        grams[:, :window] = self.rows[:, side : side + window]
+        grams[:, :window] *= np.arange(window, dtype=np.uint8) < width[:, None]
         bucket = _rows_hash(grams) % np.uint64(self.buckets)
         order = np.lexsort((hashed, bucket))
         hashed, bucket = hashed[order], bucket[order]
