@@ -26,3 +26,18 @@ def latest_before(df: DataFrame, keys: list[str], order: str, value: Column, nam
         .withColumn(name, F.coalesce("_own", "_before"))
         .drop("_value", "_range", "_own", "_before")
     )
+
+
+def running_totals(df: DataFrame, order: str, totals: dict[str, str], width: int = RANGE) -> DataFrame:
+    """``df`` with the sums so far, by the unique long ``order``, of columns: name of the sum -> column.
+
+    Windows run within ranges of ``order``; one row a range carries the sums before it.
+    """
+    ranged = df.withColumn("_span", F.floor(F.col(order) / width))
+    within = Window.partitionBy("_span").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    spans = ranged.groupBy("_span").agg(*[F.sum(c).alias(f"_{name}") for name, c in totals.items()])
+    before = Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    carried = spans.select("_span", *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in totals])
+    own = ranged.withColumns({name: F.sum(c).over(within) for name, c in totals.items()})
+    summed = own.join(carried, "_span").withColumns({n: F.col(n) + F.col(f"_{n}") for n in totals})
+    return summed.drop("_span", *[f"_{n}" for n in totals])

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .asof import running_totals
+
 
 def with_fingerprint(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("fp", F.sha2("chunk", 256))
@@ -47,12 +49,11 @@ def _running(ranged: DataFrame) -> list[tuple[int, int]]:
 def with_bucketed_order(df: DataFrame, key: str, width: int, *order: str, name: str) -> DataFrame:
     """Consecutive numbers by ``order`` without a sort of all rows: ranges are ``key // width``, fixed by the data.
 
-    The window runs within a range; ranges of ``width`` versions are bounded, and so is their table of counts.
+    The window runs within a range of ``width`` versions; the ranges' counts are summed in ranges again.
     """
     ranged = df.withColumn("_range", F.floor(F.col(key) / width).cast("long"))
-    counts = ranged.groupBy("_range").count()
-    before = F.sum("count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    counts = running_totals(ranged.groupBy("_range").count(), "_range", {"_through": "count"})
+    counts = counts.select("_range", (F.col("_through") - F.col("count")).alias("_before"))
     n = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
     return ranged.withColumn("_n", n).join(counts, "_range").withColumn(name, (F.col("_before") + F.col("_n") - 1).cast("long")).drop("_range", "_n", "_before")
 

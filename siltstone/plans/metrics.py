@@ -6,9 +6,11 @@ is_first. ``save_size`` is what a unique chunk takes; duplicates take nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.asof import running_totals
+
 RECIPE_ENTRY = 32
 #: Index bytes: a fingerprint entry of each unique chunk, a super-feature entry of each base.
 FP_ENTRY, SF_ENTRY, HYBRID_SF_ENTRY = 120, 120, 160
@@ -116,16 +118,15 @@ def overhead(events: DataFrame, hybrid: bool = False, names: str | None = None)
 
 
 def per_version(events: DataFrame) -> DataFrame:
-    """Each version's own bytes and the totals so far; one row a version enters the window."""
+    """Each version's own bytes and the totals so far."""
     first, _, _ = _conditions()
     own = events.groupBy("version").agg(
         F.count("*").alias("chunks"), F.sum("chunk_size").alias("logical_bytes"), _sum("save_size", first).alias("stored_bytes")
     )
-    so_far = Window.orderBy("version").rowsBetween(Window.unboundedPreceding, 0)
-    logical, stored = F.sum("logical_bytes").over(so_far), F.sum("stored_bytes").over(so_far)
-    return own.select(
-        "version", "chunks", "logical_bytes", "stored_bytes",
-        logical.alias("total_logical"), stored.alias("total_stored"), F.round(F.try_divide(logical, stored), 6).alias("ocr"),
+    so_far = running_totals(own, "version", {"total_logical": "logical_bytes", "total_stored": "stored_bytes"})
+    return so_far.select(
+        "version", "chunks", "logical_bytes", "stored_bytes", "total_logical", "total_stored",
+        F.round(F.try_divide("total_logical", "total_stored"), 6).alias("ocr"),
     )
 
 
