@@ -105,7 +105,7 @@ def reduce(
     """Stored chunks: chunk_id, store_kind, base_chunk_id, chunk_size, save_size, codec, payload.
 
     ``index`` has chunk_id, version, seq, chunk_size, chunk, and for ``hybrid`` also
-    name_hash. A delta that is not smaller than its chunk is stored as a base would
+    name_hash; it is read several times, so it should be a written table. A delta that is not smaller than its chunk is stored as a base would
     be, and nobody's base. ``accept`` (size, saved size -> condition) filters name
     deltas of ``hybrid``; a rejected one still stands when features find the same
     base. ``locality`` takes its matches from ``positions`` (chunk_id, guess). A delta
@@ -113,7 +113,6 @@ def reduce(
     bases shrink by before any is known.
     """
     spark = index.sparkSession
-    index = save(spark, index, "index")
     none = F.lit(None).cast("long")
     if method == "dedup":
         matches = index.select("chunk_id", none.alias("base_id"), F.lit("base").alias("by")).where(F.lit(False))
