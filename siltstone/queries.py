@@ -86,11 +86,13 @@ def recipe(spark, d):
     return fingerprint.recipes(chunks, fingerprint.chunk_index(chunks))
 
 
-@query(_F + "SELECT chunk_id, version, chunk_size FROM x WHERE chunk_id % 1000 = 7")
+@query(_F + "SELECT f.version, f.seq, x.chunk_id, x.version AS first_version, x.chunk_size FROM f JOIN x ON f.fp = x.fp")
 def chunk_metadata(spark, d):
-    """Point lookups of chunk metadata by a list of ids: the ids are the query."""
-    index = fingerprint.chunk_index(_narrow(spark, d))
-    return index.where("chunk_id % 1000 = 7").select("chunk_id", "version", "chunk_size")
+    """Metadata of the chunk behind every recipe entry."""
+    chunks = _narrow(spark, d)
+    index = fingerprint.chunk_index(chunks)
+    looked = index.select("chunk_id", F.col("version").alias("first_version"), "chunk_size")
+    return fingerprint.recipes(chunks, index).join(looked, "chunk_id").select("version", "seq", "chunk_id", "first_version", "chunk_size")
 
 
 @query(_F + """SELECT source, count(*) AS chunks, count(*) FILTER (nth > 1) AS duplicates, sum(chunk_size)::BIGINT AS bytes,
@@ -111,14 +113,14 @@ def cross_lang_shared(spark, d):
     return per.groupBy("fp").agg(F.count("*").alias("langs"), F.sum("count").alias("n")).where("langs > 1")
 
 
-@query(_F + """, k AS (SELECT DISTINCT fp FROM f WHERE version % 2 = 0), n AS (SELECT * FROM f WHERE version % 2 = 1)
- SELECT 'new' AS what, count(*) AS chunks, sum(chunk_size)::BIGINT AS bytes FROM n WHERE fp NOT IN (SELECT fp FROM k)
- UNION ALL SELECT 'known', count(*), sum(chunk_size)::BIGINT FROM n WHERE fp IN (SELECT fp FROM k)""")
+@query(_F + """, k AS (SELECT DISTINCT fp FROM f WHERE lang = 'en'), n AS (SELECT * FROM f WHERE lang <> 'en')
+ SELECT 'new' AS what, count(*) AS chunks, coalesce(sum(chunk_size), 0)::BIGINT AS bytes FROM n WHERE fp NOT IN (SELECT fp FROM k)
+ UNION ALL SELECT 'known', count(*), coalesce(sum(chunk_size), 0)::BIGINT FROM n WHERE fp IN (SELECT fp FROM k)""")
 def new_vs_known(spark, d):
-    """Chunks of the odd versions that the even ones lack or have."""
+    """Chunks of the other languages that the English versions lack or have."""
     chunks = _narrow(spark, d)
-    new, known = fingerprint.new_and_known(chunks.where("version % 2 = 1"), chunks.where("version % 2 = 0"))
-    total = lambda df, what: df.agg(F.lit(what).alias("what"), F.count("*").alias("chunks"), F.sum("chunk_size").alias("bytes"))
+    new, known = fingerprint.new_and_known(chunks.where("lang != 'en'"), chunks.where("lang = 'en'"))
+    total = lambda df, what: df.agg(F.lit(what).alias("what"), F.count("*").alias("chunks"), F.coalesce(F.sum("chunk_size"), F.lit(0)).alias("bytes"))
     return total(new, "new").unionAll(total(known, "known"))
 
 
@@ -594,12 +596,12 @@ def parameter_sweep(spark, d):
     return analysis.sweep(spark, headers=[1, 2, 4, 8, 16, 32], threshold=list(range(21)))
 
 
-@query("SELECT text FROM (SELECT DISTINCT text FROM benchmark WHERE item_id % 2 = 0 UNION ALL SELECT DISTINCT text FROM benchmark WHERE item_id % 3 = 0)")
+@query("SELECT text FROM benchmark UNION ALL SELECT text FROM conversations")
 def union_runs(spark, d):
+    """Rows of two logs, one after the other, repeats and all."""
     from .sources.files import union_logs
 
-    items = _table(spark, d, "benchmark")
-    return union_logs(*(items.where(f"item_id % {k} = 0").select("text").distinct() for k in (2, 3)))
+    return union_logs(_table(spark, d, "benchmark").select("text"), _table(spark, d, "conversations").select("text"))
 
 
 # ---------------------------------------------------------------- archives
