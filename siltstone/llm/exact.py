@@ -91,7 +91,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     keyed = docs.withColumns({own_id: F.col(id_col).cast("long"), own_sha: F.sha2(text, 256)})
     same = F.col(own_id).eqNullSafe(F.col("gone_id")) & (F.col(own_sha) == F.col("gone_sha"))
     left = keyed.join(gone, same, "left_anti")
-    repeats = marked.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1")
+    repeats = keyed.groupBy(own_id, own_sha).count().where("count > 1")
     if not repeats.isEmpty():
         left = left.dropDuplicates([own_id, own_sha])
     return left.drop(own_id, own_sha)
