@@ -3,8 +3,8 @@
 Three base kinds (assignment, access identifier, hex run) stand by themselves.
 A bare secret or an endpoint is weak: alone it proves nothing. The interval
 join widens each access identifier by ``scope`` code points to either side,
-deals the widened intervals and the weak spans into buckets of that width, and
-joins them by text and bucket. Weak spans that overlap a base span are left
+deals the widened intervals and the weak spans into all buckets of that width
+that they touch, and joins them by text and bucket. Weak spans that overlap a base span are left
 out; of the others a bare secret is reported when it lies in the scope of an
 identifier, and an endpoint when a bare secret lies in that scope too. Each
 bucket holds what fits into one scope of one text, however long it is.
@@ -119,7 +119,9 @@ def _linked(rows: DataFrame, scope: int) -> DataFrame:
     base = F.concat("assign", "access", "hex")
     covered = F.exists(base, lambda b: (b["start"] < F.col("w.end")) & (b["end"] > F.col("w.start")))
     weak = parts.select("text_key", "assign", "access", "hex", F.explode("weak").alias("w")).where(~covered)
-    weak = weak.select("text_key", "w", F.floor(F.col("w.start") / scope).alias("bucket"))
+    # A span that begins before an identifier's first bucket may reach into it.
+    last = F.floor((F.col("w.end") - 1) / scope)
+    weak = weak.select("text_key", "w", F.explode(F.sequence(F.floor(F.col("w.start") / scope), last)).alias("bucket"))
     near = anchors.join(weak, ["text_key", "bucket"]).where((F.col("w.start") < high) & (F.col("w.end") > low))
     # A bare secret completes its identifier; an endpoint counts where a secret does.
     secret = KINDS.index("secret")
