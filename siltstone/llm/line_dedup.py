@@ -5,7 +5,8 @@ occurrence, by document id and line number, stands for all. A line of ``l``
 characters is cut into ``edits + 1`` segments; a line within ``edits`` edits of
 it and not shorter holds one of them unchanged, near its place (Li et al.,
 "Pass-Join"), so it probes an index of segments, by length, with few
-substrings. A banded bit-parallel automaton decides on each pair found.
+substrings. Bit-parallel automata decide on each pair found. Edits grow with the
+line if asked for; long lines then send keys for every place (``_Plan``).
 
 1. Documents are packed into blocks, written once to a bucketed table. Blocks
    send their distinct lines' hashes to buckets, which tell the block that has
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +37,9 @@ from pyspark.sql import functions as F
 from . import common
 from .suffix_dedup import _NULL_RANK, _pack, _unpack
 
+#: Least edits of a near line, and the characters for each edit of longer ones.
 EDITS = 2
+GROW = 16
 #: Lines of fewer characters are repeats only when equal.
 SHORT = 24
 BLOCK_BYTES = 2 << 20
@@ -79,6 +83,8 @@ def within(a: str, b: str, edits: int) -> bool:
     m = len(a)
     if not m or not b:
         return max(m, len(b)) <= edits
+    if edits > 3:
+        return _columns(a, b, edits)
     masks: dict[str, int] = {}
     for i, c in enumerate(a):
         masks[c] = masks.get(c, 0) | 1 << i + edits  # shifted so that the band never starts below zero
@@ -104,6 +110,32 @@ def within(a: str, b: str, edits: int) -> bool:
     return 0 <= at <= 2 * edits and bool(rows[edits] >> at & 1)
 
 
+def _columns(a: str, b: str, edits: int) -> bool:
+    """The same by Myers' bit vectors, whose steps do not grow with ``edits``."""
+    masks: dict[str, int] = {}
+    for i, c in enumerate(a):
+        masks[c] = masks.get(c, 0) | 1 << i
+    full, last, score, left = (1 << len(a)) - 1, 1 << len(a) - 1, len(a), len(b)
+    up, down = full, 0
+    for c in b:
+        same = masks.get(c, 0)
+        vertical = same | down
+        across = ((same & up) + up ^ up) | same
+        more, less = down | ~(across | up) & full, up & across
+        score += bool(more & last) - bool(less & last)
+        left -= 1
+        if score - left > edits:
+            return False
+        more, less = more << 1 & full | 1, less << 1 & full
+        up, down = less | ~(vertical | more) & full, more & vertical
+    return score <= edits
+
+
+def budget(length: int, edits: int, grow: int) -> int:
+    """Edits that a line of ``length`` characters may be from a longer one: one for ``grow`` characters, ``edits`` at least."""
+    return max(edits, length // grow) if grow else edits
+
+
 # ---------------------------------------------------------------- segments
 
 
@@ -123,25 +155,96 @@ def probes(length: int, of: int, edits: int) -> list[tuple[int, int, int]]:
 
 
 class _Plan:
-    """Index segments and probes of each length, worked out once."""
+    """Index segments and probes of each length, worked out once.
+
+    Lines whose budget is ``edits`` are probed as above. Of longer ones the number of
+    probes would grow with the cube of the budget; their segments go by the segment's
+    first characters, a class of lengths and a range of places instead, so a line
+    sends a few keys for each of its characters.
+    """
 
-    def __init__(self, edits: int, short: int):
-        self.edits, self.short, self.kept = edits, short, {}
+    def __init__(self, edits: int, short: int, grow: int = 0):
+        self.edits, self.short, self.grow, self.kept = edits, short, grow, {}
+        #: The least length with a larger budget, and the lengths at which classes begin.
+        self.long = (edits + 1) * grow if grow else 1 << 62
+        self.starts, self.classes = [self.long], {}
 
     def of(self, n: int):
         if n not in self.kept:
             cuts = _cuts(n, self.edits)
-            index = [(i, cuts[i], cuts[i + 1], n << 4 | i) for i in range(self.edits + 1)]
+            index = [(i, cuts[i], cuts[i + 1], n << 4 | i) for i in range(self.edits + 1)] if n < self.long else []
             own = {(i, a, b) for i, a, b, _ in index}
             asked = [
                 (i, a, b, of << 4 | i)
-                for of in range(max(self.short, n - self.edits), n + 1)
+                for of in range(max(self.short, n - self.edits), min(n + 1, self.long))
                 for i, a, b in probes(n, of, self.edits)
                 if of < n or (i, a, b) not in own
             ]
             self.kept[n] = index, asked
         return self.kept[n]
 
+    def class_of(self, n: int) -> int:
+        while self.starts[-1] <= n:
+            self.starts.append(self.starts[-1] + max(1, self.starts[-1] // 8))
+        return bisect_right(self.starts, n) - 1
+
+    def shape(self, c: int) -> tuple[int, int, int]:
+        """Of a class of lengths: characters of a key, most edits, and places in a range."""
+        if c not in self.classes:
+            self.class_of(self.starts[min(c, len(self.starts) - 1)])
+            lengths = range(self.starts[c], self.starts[c + 1])
+            most = budget(lengths[-1], self.edits, self.grow)
+            self.classes[c] = min(n // (budget(n, self.edits, self.grow) + 1) for n in lengths), most, 2 * most + 1
+        return self.classes[c]
+
+    def grams(self, line: str) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of a long line's segments, and of its probes that are none of these."""
+        n = len(line)
+        x = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        own, least = self.class_of(n), n
+        while least > self.long and least - 1 + budget(least - 1, self.edits, self.grow) >= n:
+            least -= 1
+        asked, index = [], None
+        for c in range(self.class_of(least), own + 1):
+            size, most, places = self.shape(c)
+            h = np.full(n - size + 1, c, np.uint64)
+            for i in range(size):
+                h = h * _STEP + x[i : n - size + 1 + i]
+            at = np.arange(len(h))
+            if c == own:
+                cut = np.array(_cuts(n, budget(n, self.edits, self.grow))[:-1])
+                index = _mixed(h[cut], cut // places)
+            asked.extend((_mixed(h, np.maximum(at - most, 0) // places), _mixed(h, (at + most) // places)))
+        return index, np.setdiff1d(np.concatenate(asked), index)
+
+
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mixed(h: np.ndarray, place: np.ndarray) -> np.ndarray:
+    h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) + place.astype(np.uint64) * np.uint64(0x94D049BB133111EB)
+    h = (h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ h >> np.uint64(32)
+
+
+def first_common(a: str, b: str, size: int, edits: int) -> int:
+    """The first segment of ``a`` whose first ``size`` characters ``b`` has within ``edits`` places; -1: none."""
+    for i, cut in enumerate(_cuts(len(a), edits)[:-1]):
+        if b.find(a[cut : cut + size], max(0, cut - edits), cut + edits + size) >= 0:
+            return i
+    return -1
+
+
+def may_be_within(a: str, b: str, edits: int) -> bool:
+    """False when more pieces of eight characters of ``a`` are missing in ``b``, near their places, than edits could touch."""
+    missing = 0
+    for at in range(0, len(a) - 7, 8):
+        if b.find(a[at : at + 8], max(0, at - edits), at + edits + 8) < 0:
+            missing += 1
+            if missing > edits:
+                return False
+    return True
+
 
 class _Lines:
     """The lines of one block: each distinct line with its first occurrence here, and all occurrences."""
@@ -196,7 +299,7 @@ class _Lines:
 
     def keys(self, own: np.ndarray, plan: _Plan):
         """Of owned lines: entry, place in the plan (negative: probe), and hash, by bucket."""
-        entries, places, hashed = [], [], []
+        entries, places, hashed, long = [], [], [], []
         digest = xxhash.xxh3_64_intdigest
         for k in np.flatnonzero(own).tolist():
             line = self.lines[k]
@@ -211,13 +314,24 @@ class _Lines:
                 entries.append(k)
                 places.append(-1 - at)
                 hashed.append(digest(line[a:b].encode("utf-8", "surrogatepass"), seed))
-        entries, places, hashed = np.array(entries, np.int64), np.array(places, np.int64), np.array(hashed, np.uint64)
+            if len(line) >= plan.long:
+                found, others = plan.grams(line)
+                at = np.concatenate((np.arange(len(found)), np.full(len(others), _GRAM)))
+                long.append((np.full(len(at), k), at, np.concatenate((found, others))))
+        more = [np.concatenate(x) for x in zip(*long)] or [[], [], []]
+        entries = np.concatenate((np.array(entries, np.int64), more[0])).astype(np.int64)
+        places = np.concatenate((np.array(places, np.int64), more[1])).astype(np.int64)
+        hashed = np.concatenate((np.array(hashed, np.uint64), np.asarray(more[2], np.uint64)))
         bucket = ((hashed >> np.uint64(32)) % np.uint64(self.buckets)).astype(np.int64)
         order = np.lexsort((places < 0, bucket))
         bounds = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
         return entries[order], places[order], hashed[order], bounds
 
 
+#: The place of a long line's probes.
+_GRAM = -1 << 40
+
+
 # ---------------------------------------------------------------- dealing
 
 
@@ -278,10 +392,10 @@ def _first_occurrences(group: pa.Table) -> pa.Table:
     return pa.table({"block": group.column("block"), "bucket": group.column("bucket"), "own": pa.array(bits, pa.binary())})
 
 
-def _send_keys(buckets: int, edits: int, short: int):
+def _send_keys(buckets: int, edits: int, short: int, grow: int):
     def run(row: pa.Table, answers: pa.Table) -> pa.Table:
         block, made = _load(row, buckets)
-        _, places, hashed, bounds = made.keys(made.owned(_answers(answers, "own")), _Plan(edits, short))
+        _, places, hashed, bounds = made.keys(made.owned(_answers(answers, "own")), _Plan(edits, short, grow))
         low = (hashed & np.uint64(0xFFFFFFFF)).astype("<u4")
         used = [b for b in range(buckets) if bounds[b + 1] > bounds[b]]
         sent = []
@@ -315,13 +429,13 @@ MEMBERS = (
 )
 
 
-def _send_lines(buckets: int, edits: int, short: int):
+def _send_lines(buckets: int, edits: int, short: int, grow: int):
     names = [c.split()[0] for c in MEMBERS.split(", ")]
     types = [pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
 
     def run(row: pa.Table, answers: pa.Table) -> pa.Table:
         block, made = _load(row, buckets)
-        plan = _Plan(edits, short)
+        plan = _Plan(edits, short, grow)
         entries, places, hashed, bounds = made.keys(made.owned(_answers(answers, "own")), plan)
         live = np.zeros(len(entries), bool)
         for bucket, bits in _answers(answers, "live").items():
@@ -331,7 +445,12 @@ def _send_lines(buckets: int, edits: int, short: int):
         for at in np.flatnonzero(live).tolist():
             k, place = int(entries[at]), int(places[at])
             index, asked = plan.of(len(made.lines[k]))
-            i = (index[place] if place >= 0 else asked[-1 - place])[0]
+            if place == _GRAM:
+                i = -1
+            elif place >= 0:
+                i = index[place][0] if index else place
+            else:
+                i = asked[-1 - place][0]
             key = int(hashed[at].view(np.int64))
             out.append((key, place < 0, i, block, k, int(made.rank[k]), int(made.first_line[k]), made.lines[k]))
             if place >= 0:  # a line of the same length may hold it in the same place
@@ -345,15 +464,17 @@ def _send_lines(buckets: int, edits: int, short: int):
 LINKS = "block long, entry long, n_links long, rank long, line_no long"
 
 
-def _join(edits: int):
+def _join(edits: int, short: int, grow: int):
     """Links of one task: for each line their number and the earliest linked occurrence."""
 
     def run(group: pa.Table) -> pa.Table:
         names = ("key", "i", "j", "probe", "segment", "block", "entry", "rank", "line_no", "line")
         met: dict = {}
+        plan = _Plan(edits, short, grow)
         for key, i, j, probe, segment, block, entry, rank, number, line in zip(*(group.column(n).to_pylist() for n in names)):
             sides = met.setdefault((key, i, j), ({}, {}))
-            sides[probe][block, entry] = (segment, (rank, number, block, entry), line)
+            # Several segments of a long line may have one key.
+            sides[probe][(block, entry) if probe else (block, entry, segment)] = (segment, (rank, number, block, entry), line)
         links: dict = {}
 
         def note(key, when):
@@ -361,18 +482,27 @@ def _join(edits: int):
             links[key] = (1, when) if got is None else (got[0] + 1, min(got[1], when))
 
         for index, asked in met.values():
-            pairs(index, asked, note)
+            pairs(index, asked, note, plan)
         rows = [(b, e, n, w[0], w[1]) for (b, e), (n, w) in links.items()]
         columns = list(zip(*rows)) or [[]] * 5
         names = [c.split()[0] for c in LINKS.split(", ")]
         return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(names, columns)})
 
-    def pairs(index: dict, asked: dict, note) -> None:
-        for x, (i, when_x, a) in index.items():
-            cuts, of = _cuts(len(a), edits), len(a)
+    def pairs(index: dict, asked: dict, note, plan: _Plan) -> None:
+        for (*x, _), (i, when_x, a) in index.items():
+            x, of, most = tuple(x), len(a), budget(len(a), edits, grow)
+            cuts, long = _cuts(of, most), of >= plan.long
+            size = plan.shape(plan.class_of(of))[0] if long else 0
             for y, (i_y, when_y, b) in asked.items():
                 # Of two lines of one length the earlier one is the index; a pair counts at its first common segment.
-                if i != i_y or len(b) < of or len(b) - of > edits or x == y or len(b) == of and when_x > when_y:
+                if len(b) < of or len(b) - of > most or x == y or len(b) == of and when_x > when_y:
+                    continue
+                if long:
+                    if first_common(a, b, size, most) == i and may_be_within(a, b, most) and within(a, b, most):
+                        note(x, when_y)
+                        note(y, when_x)
+                    continue
+                if i != i_y:
                     continue
                 earlier = i and any(
                     a[cuts[k] : cuts[k + 1]] == b[s:e] for k, s, e in probes(len(b), of, edits) if k < i
@@ -435,6 +565,7 @@ def deduplicate_lines(
     bucket_bytes: int = BUCKET_BYTES,
     task_lines: int = TASK_LINES,
     texts: bool = False,
+    grow: int = 0,
 ) -> DataFrame:
     """Per row of ``docs``: doc_id, n_lines, n_repeats, n_near, n_links, kept_sha256.
 
@@ -443,7 +574,8 @@ def deduplicate_lines(
     line, ``n_links`` the links of the distinct lines that first occur here. Both
     kinds are dropped; what is left is joined by line feeds and hashed, or returned
     in place of the hash with ``texts``. Lines below ``short`` characters are never
-    near. Null text is empty. Documents with a null id come last; rows of one id go
+    near. With ``grow`` a line may have an edit for each ``grow`` characters of the
+    shorter of two, ``edits`` at least. Null text is empty. Documents with a null id come last; rows of one id go
     by their blocks. An empty table gives no rows. Other columns are not looked at.
     """
     spark = docs.sparkSession
@@ -459,13 +591,13 @@ def deduplicate_lines(
     own = common.save(spark, own, "first-lines")
     blocks = table.select("block", "ids", "lengths", "text")
     keys = blocks.groupBy("block").cogroup(own.groupBy("block"))
-    keys = keys.applyInArrow(_send_keys(buckets, edits, short), "block long, bucket int, list binary")
+    keys = keys.applyInArrow(_send_keys(buckets, edits, short, grow), "block long, bucket int, list binary")
     live = keys.groupBy("bucket").applyInArrow(_live_keys, "block long, bucket int, live binary")
     none = F.lit(None).cast("binary")
     answers = own.select("block", "bucket", "own", none.alias("live")).unionAll(
         live.select("block", "bucket", none.alias("own"), "live")
     )
-    members = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_send_lines(buckets, edits, short), MEMBERS)
+    members = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_send_lines(buckets, edits, short, grow), MEMBERS)
     members = common.save(spark, members, "live-lines")
 
     # Segments of many lines are cut into blocks on both sides, each pair of blocks a task.
@@ -480,7 +612,7 @@ def deduplicate_lines(
     tasks = left.unionByName(right).drop("x", "y")
     # Small tasks share a call; their number grows with the input.
     together = F.pmod(F.xxhash64("key", "i", "j"), F.lit(4 * buckets)).alias("together")
-    linked = tasks.select("*", together).groupBy("together").applyInArrow(_join(edits), LINKS)
+    linked = tasks.select("*", together).groupBy("together").applyInArrow(_join(edits, short, grow), LINKS)
     first = F.min(F.struct("rank", "line_no"))
     linked = linked.groupBy("block", "entry").agg(F.sum("n_links").alias("n_links"), first.alias("f"))
     linked = linked.select("block", "entry", "n_links", F.col("f.rank").alias("rank"), F.col("f.line_no").alias("line_no"))

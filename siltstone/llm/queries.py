@@ -26,7 +26,7 @@ def op4_exact_dedup(spark, sf_dir):
 
 
 def op5_line_dedup(spark, sf_dir):
-    return line_dedup.deduplicate_lines(table(spark, sf_dir, "documents"))
+    return line_dedup.deduplicate_lines(table(spark, sf_dir, "documents"), grow=line_dedup.GROW)
 
 
 def op6_html_text(spark, sf_dir):

@@ -5,7 +5,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from siltstone.llm import exact, line_dedup, minhash, suffix_dedup
+from siltstone.llm import exact, line_dedup, minhash, queries, suffix_dedup
 from siltstone.llm.components import components
 from siltstone.llm.shingles import shingle_sets
 
@@ -256,6 +256,57 @@ def test_lines(spark, task_lines):
     assert sorted(map(tuple, got.collect()), key=repr) == expected
 
 
+def long_line_rows():
+    """Lines of 24 to 300 characters and copies with up to a little over one edit for 16 characters, or replaced words."""
+    rng = random.Random(21)
+    rows = []
+    for k in range(10):
+        line = list(words(rng, [5, 7, 8, 9, 10, 16, 18, 20, 22, 50][k]))
+        for copy in range(4):
+            edited = list(line)
+            for _ in range(rng.randint(0, len(line) // 16 + 1)):
+                at = rng.randrange(len(edited))
+                edited[at : at + rng.randint(0, 1)] = rng.choice(["", "x", "yz"])
+            if copy == 3:
+                at = rng.randrange(len(edited))
+                edited[at : at + 4] = "other"
+            rows.append((4 * k + copy, "".join(edited) + "\n" + "ab " * (20 + k)))
+    return rows
+
+
+def test_edits_grow_with_the_line(spark, monkeypatch):
+    rows = long_line_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    lines = {x.strip() for _, t in rows for x in t.split("\n")}
+    allowed = lambda x, y: max(2, min(len(x), len(y)) // 16)
+    close = lambda x, y: abs(len(x) - len(y)) <= allowed(x, y) and edit_distance(x, y) <= allowed(x, y)
+    linked = {x: [y for y in lines if y != x and min(len(x), len(y)) >= 24 and close(x, y)] for x in lines}
+    monkeypatch.setattr(queries, "table", lambda *_: docs)
+    got = {r.doc_id: r for r in queries.op5_line_dedup(spark, "").collect()}
+    seen, n_far = set(), 0
+    for k, t in rows:
+        near = links = 0
+        for x in map(str.strip, t.split("\n")):
+            if x not in seen:
+                links += len(linked[x])
+                near += any(y in seen for y in linked[x])
+                n_far += any(y in seen and edit_distance(x, y) > 2 for y in linked[x])
+                seen.add(x)
+        assert (got[k].n_near, got[k].n_links) == (near, links)
+    assert n_far > 10
+
+
+def test_long_distances():
+    rng = random.Random(5)
+    for _ in range(400):
+        a = "".join(rng.choice("abc") for _ in range(rng.randint(1, 60)))
+        b = "".join(rng.choice(["", "c", x, x, x, x, x + "a"]) for x in a)
+        distance = edit_distance(a, b)
+        for edits in (4, 6, 9, 15):
+            assert line_dedup.within(a, b, edits) == (distance <= edits)
+            assert line_dedup.may_be_within(a, b, edits) or distance > edits
+
+
 def test_lines_of_hostile_rows_and_of_none(hostile, empty):
     assert line_dedup.deduplicate_lines(hostile).count() == len(hostile_rows())
     assert line_dedup.deduplicate_lines(empty).collect() == []
