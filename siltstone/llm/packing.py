@@ -4,7 +4,7 @@ Documents follow each other in id order. A window may end only at a candidate
 place: the end of a document, the end of a sentence, or, within a run longer
 than ``max_run`` tokens without either, at a forced place. The cost of a window
 of ``L`` tokens is its padding, ``size - L`` (nothing where ``L`` is a power of
-two), plus a penalty for its last cut: none at a document's end, some at a
+two and the window ends in the last ``size`` tokens of a block), plus a penalty for its last cut: none at a document's end, some at a
 sentence's, more at a forced place. With ``f(j)`` the least cost of windows
 that end at candidate ``j``,
 
@@ -12,7 +12,8 @@ that end at candidate ``j``,
            f(i) + size - (p(j) - p(i)),
 
 the minimum of ``f(i) + p(i)`` over a sliding range, kept in a monotone queue;
-powers of two are looked up beside it. Linear in the number of candidates.
+powers of two are looked up beside it at the end of a block only, so elsewhere a
+window of 1024 tokens counts as padded. Linear in the number of candidates.
 
 Ranges of documents are packed independently, so that tasks need nothing of
 each other; within a range, blocks of about ``block_tokens`` are solved one
