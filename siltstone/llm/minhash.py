@@ -8,9 +8,10 @@ gives coordinate ``k`` as its least value. Both are fixed bijections.
 2. Representatives that agree in a band share a bucket. Each is compared with
    the least of its bucket, exactly, on full sets.
 3. Buckets in which that left members apart are searched whole, in tasks of
-   bounded size: a large bucket is cut into blocks, and each pair of blocks is
-   a task. A task compares one set with all others at once and returns only
-   links that join two classes it still held apart, never all pairs.
+   bounded size. A bucket's largest class needs no comparison within itself: its
+   members fill blocks of their own, which only meet the blocks of the others. A
+   task is a pair of blocks, compares one set with all others at once and returns
+   only links that join two classes it still held apart, never all pairs.
 4. Connected components of the links give each class its least id.
 
 A pair of similarity 0.75 stays unseen by all 40 bands of 4 rows with
@@ -181,11 +182,21 @@ def links(
         F.count("*").alias("m"), F.sum("n").alias("total"), F.min("label").alias("lo"), F.max("label").alias("hi"),
         F.bit_xor(F.xxhash64("id")).alias("x"), F.sum(F.xxhash64("id", F.lit(1)).cast("decimal(38,0)")).alias("y"),
     )
-    apart = sums.where("lo != hi").groupBy("m", "x", "y", "total").agg(F.min("key").alias("key"))
-    blocks = F.greatest(F.ceil(F.col("m") / block_sets), F.ceil(F.col("total") / block_shingles)).cast("int")
-    apart = apart.select("key", blocks.alias("blocks"))
-    placed = named.join(apart, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    apart = sums.where("lo != hi").groupBy("m", "x", "y", "total").agg(F.min("key").alias("key")).select("key")
+    # Of each bucket: its largest class, then the blocks of that class and of the rest.
+    classes = named.join(apart, "key", "left_semi").groupBy("key", "label").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
+    need = lambda m, total: F.greatest(F.ceil(m / block_sets), F.ceil(total / block_shingles)).cast("int")
+    largest = F.max(F.struct("m", "total", "label"))
+    shape = classes.groupBy("key").agg(largest.alias("own"), F.sum("m").alias("m"), F.sum("total").alias("total"))
+    shape = shape.select(
+        "key", F.col("own.label").alias("largest"), need(F.col("own.m"), F.col("own.total")).alias("own"),
+        need(F.col("m") - F.col("own.m"), F.col("total") - F.col("own.total")).alias("rest"),
+    )
+    placed = named.join(shape, "key").withColumn("in_largest", F.col("label") == F.col("largest"))
+    spread = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    placed = placed.withColumn("block", F.when(F.col("in_largest"), spread("own")).otherwise(F.col("own") + spread("rest")))
+    first_met = F.when(F.col("in_largest"), F.col("own")).otherwise(F.lit(0))
+    other = F.explode(F.sequence(first_met, F.col("own") + F.col("rest") - 1)).alias("other")
     tasks = placed.select("key", "id", "label", "block", other).select(
         "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "label",
         (F.col("block") > F.col("other")).cast("int").alias("side"),

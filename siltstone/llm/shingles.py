@@ -3,24 +3,17 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 #: ASCII white space that parts words: space and 0x09 to 0x0D.
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
-_MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-#: Bytes hashed in one go; powers of the base are kept for as many.
+#: Bytes hashed in one go.
 _CHUNK = 1 << 20
 
 
-def _mix_int(x: int) -> int:
-    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & _MASK
-    x = (x ^ x >> 27) * 0x94D049BB133111EB & _MASK
-    return x ^ x >> 31
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers whose output bits each depend on all input bits."""
     x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
@@ -28,35 +21,39 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
-_BYTES = np.array([_mix_int(i * _BASE + 1 & _MASK) for i in range(256)], np.uint64)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_kept: dict[str, np.ndarray] = {}
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_kept.get("up", ())) < n:
-        _kept["up"] = _powers(_BASE, max(n, 1 << 16))
-        _kept["down"] = _powers(_INVERSE, max(n, 1 << 16))
-    return _kept["up"], _kept["down"]
+#: Bytes of a word hashed in one step, and the words beyond so many bytes that go one by one.
+_STEP, _LONG = 8, 64
 
 
 def word_hashes(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the words of a byte buffer that ends with white space, and the hash of each."""
+    """Places of the words of a byte buffer that ends with white space, and the hash of each.
+
+    Eight bytes at a time go through a bijection of the state, so words of one length
+    up to eight bytes never collide and others by chance only (2 ** -64 for a pair),
+    whatever their letters.
+    """
     space = _SPACE[buffer]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], space)).view(np.int8)))
     begins, ends = edge[0::2], edge[1::2]
-    up, down = _power_tables(len(buffer) + 1)
-    sums = np.empty(len(buffer) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(_BYTES[buffer] * up[: len(buffer)], out=sums[1:])
-    return begins, mix64((sums[ends] - sums[begins]) * down[begins])
+    sizes = ends - begins
+    raw = np.concatenate((buffer, np.zeros(_STEP, np.uint8)))
+    eight = np.ndarray((len(buffer) + 1,), "<u8", raw, 0, (1,))  # the eight bytes from each place on
+    out = sizes.astype(np.uint64) * np.uint64(_BASE)
+    rest, at = np.arange(len(begins)), 0
+    short = sizes <= _LONG
+    if not short.all():
+        for k in np.flatnonzero(~short).tolist():
+            out[k] = xxhash.xxh3_64_intdigest(buffer[begins[k] : ends[k]].tobytes(), 1)
+        rest = np.flatnonzero(short)
+    while len(rest):
+        left = sizes[rest] - at
+        part = eight[begins[rest] + at]
+        cut = left < _STEP
+        part[cut] &= (np.uint64(1) << (left[cut] * 8).astype(np.uint64)) - np.uint64(1)
+        out[rest] = mix64(out[rest] ^ part)
+        rest = rest[left > _STEP]
+        at += _STEP
+    return begins, out
 
 
 def shingle_sets(texts: list[str | None], width: int = 5) -> list[np.ndarray]:
