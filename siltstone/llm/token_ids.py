@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common, tokens
@@ -115,7 +115,8 @@ def write(
 ) -> None:
     """Encode whole texts, each with ``end_id`` after it, in ascending id order, to ``path``.
 
-    Null text is empty. Null ids come first; rows of one id go by their text.
+    Null text is empty. Null ids come first; rows of one id go by their text's first
+    ``common.HEAD`` characters, and by their whole text as far as one task holds them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,8 +135,7 @@ def write(
 
     common.tune(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
-    ordered.mapInArrow(run, SEGMENTS).write.parquet(path)
+    common.in_order(rows).mapInArrow(run, SEGMENTS).write.parquet(path)
 
 
 # ---------------------------------------------------------------- reading
@@ -204,8 +204,6 @@ def digest(
         starts.append((part, before))
         before += n
     parts = spark.createDataFrame(starts, "part int, before_part long")
-    from pyspark.sql import Window
-
     order = Window.partitionBy("part").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
     firsts = sizes.join(F.broadcast(parts), "part").select(
         "part", "segment", (F.col("before_part") + F.coalesce(F.sum("n_tokens").over(order), F.lit(0))).alias("first")
