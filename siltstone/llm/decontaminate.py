@@ -1,18 +1,21 @@
 """Operator 8: benchmark passages in documents by pigeonhole edit matching.
 
 Texts are normalised: lower case, every run of other than letters and digits
-one space. An item of ``m`` characters may differ by ``m // BUDGET_SHARE``
-edits. Cut into one piece more than that, it must have a piece without an
-edit in any match, so an automaton of all pieces finds every place worth a
-look; Myers' bit-parallel distance then decides on the stretch of text around
-it, item whole. The benchmark goes to the tasks in blocks of at most
-``BLOCK_BYTES``, one scan for each block.
+one space, and one space at either end, so that an item's first and last word
+count as whole words. An item of ``m`` characters, these spaces included, may
+differ by ``m // BUDGET_SHARE`` edits, however short or long it is. Cut into one
+piece more than that, it must have a piece without an edit in any match, so an
+automaton of all pieces finds every place worth a look; Myers' bit-parallel
+distance then decides on the stretch of text around it, item whole. The
+benchmark goes to the tasks in blocks of at most ``BLOCK_BYTES``, one scan for
+each block.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,8 +25,6 @@ from . import common
 
 #: One edit for so many characters of a normalised item.
 BUDGET_SHARE = 16
-#: Items below so many normalised characters must match without an edit, at word bounds.
-EXACT_BELOW = 32
 #: Text of benchmark items that one scan takes along.
 BLOCK_BYTES = 4 << 20
 
@@ -34,11 +35,14 @@ _ASCII_GAPS = str.maketrans({c: " " for c in map(chr, range(128)) if not c.isaln
 
 
 def normalise(text: str | None) -> str:
+    """Words in lower case, a space before, between and after them; without words the empty string."""
     if not text:
         return ""
     if text.isascii():  # the same result, several times faster
-        return " ".join(text.lower().translate(_ASCII_GAPS).split())
-    return _GAPS.sub(" ", text.lower()).strip()
+        words = " ".join(text.lower().translate(_ASCII_GAPS).split())
+    else:
+        words = _GAPS.sub(" ", text.lower()).strip()
+    return f" {words} " if words else ""
 
 
 def best_match(item: str, text: str, limit: int) -> tuple[int, int] | None:
@@ -77,14 +81,14 @@ def best_match(item: str, text: str, limit: int) -> tuple[int, int] | None:
 class Matcher:
     """Finds items in normalised texts."""
 
-    def __init__(self, items: list[tuple[int, str]], share: int = BUDGET_SHARE, exact_below: int = EXACT_BELOW):
+    def __init__(self, items: list[tuple[int, str]], share: int = BUDGET_SHARE):
         import ahocorasick
 
         self.items: list[tuple[int, str, int]] = []
         pieces: dict[str, list[tuple[int, int]]] = {}
         for key, text in items:
             m = len(text)
-            limit = m // share if m >= exact_below else 0
+            limit = m // share
             number = len(self.items)
             self.items.append((key, text, limit))
             cuts = [m * k // (limit + 1) for k in range(limit + 2)]
@@ -95,7 +99,6 @@ class Matcher:
             self.automaton.add_word(piece, (len(piece), places))
         if pieces:
             self.automaton.make_automaton()
-        self.exact_below = exact_below
 
     def find(self, text: str) -> dict[int, tuple[int, int]]:
         """For each item with a match in ``text``: distance and end of the first of the best matches."""
@@ -114,13 +117,13 @@ class Matcher:
                     got = best_match(item, text[low:high], limit)
                     got = got and (got[0], low + got[1])
                 else:
-                    got = self._exact(item, text, low, high)
+                    got = (0, high) if text[low:high] == item else None
                 if got and (best is None or got < best):
                     best = got
                     if best[0] == 0:
                         break
-            if best is not None:
-                found[key] = best
+            if best is not None:  # an item id may have several texts
+                found[key] = min(found.get(key, best), best)
         return found
 
     @staticmethod
@@ -139,13 +142,6 @@ class Matcher:
         if low is not None:
             yield low, high
 
-    def _exact(self, item: str, text: str, low: int, high: int) -> tuple[int, int] | None:
-        """A match without edits; short items must stand between word bounds."""
-        if text[low:high] != item:
-            return None
-        alone = (not low or text[low - 1] == " ") and (high == len(text) or text[high] == " ")
-        return (0, high) if alone or len(item) >= self.exact_below else None
-
 
 def blocks_of(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int, str]]]:
     """Normalised items in blocks of bounded size, ascending by id; null or wordless items match nothing."""
@@ -167,20 +163,21 @@ HITS = "doc_id long, item_id long, distance int, match_end long"
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each document and item with a match: doc_id, item_id, distance, match_end.
+    """A row for each document id and item id with a match: doc_id, item_id, distance, match_end.
 
     ``match_end`` counts normalised characters. Null and empty texts have no
     match; null ids and repeated rows are searched like others. An item id with
-    several texts counts with the best. An empty table on either side gives no
-    rows. Other columns are not looked at.
+    several texts, in whichever blocks, and a document id with several rows, null
+    too, count with the best match: least distance, then first end. An empty table
+    on either side gives no rows. Other columns are not looked at.
     """
     common.tune(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    out = None
-    for items in blocks_of(benchmark):
-        part = rows.mapInArrow(_hits_of(items), HITS)
-        out = part if out is None else out.unionAll(part)
-    return out if out is not None else docs.sparkSession.createDataFrame([], HITS)
+    parts = [rows.mapInArrow(_hits_of(items), HITS) for items in blocks_of(benchmark)]
+    if not parts:
+        return docs.sparkSession.createDataFrame([], HITS)
+    best = F.min(F.struct("distance", "match_end")).alias("best")
+    return reduce(DataFrame.unionAll, parts).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
 
 
 def _hits_of(items: list[tuple[int, str]]):
