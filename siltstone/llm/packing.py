@@ -3,17 +3,19 @@
 Documents follow each other in id order. A window may end only at a candidate
 place: the end of a document, the end of a sentence, or, within a run longer
 than ``max_run`` tokens without either, at a forced place. The cost of a window
-of ``L`` tokens is its padding, ``size - L`` (nothing where ``L`` is a power of
-two and the window ends in the last ``size`` tokens of a block), plus a penalty for its last cut: none at a document's end, some at a
+of ``L`` tokens is its padding, ``size - L``, or nothing where ``L`` is a power
+of two, plus a penalty for its last cut: none at a document's end, some at a
 sentence's, more at a forced place. With ``f(j)`` the least cost of windows
 that end at candidate ``j``,
 
-    f(j) = cut(j) + min over i with p(j) - size <= p(i) < p(j) of
-           f(i) + size - (p(j) - p(i)),
+    f(j) = cut(j) + min( min over i with p(j) - size <= p(i) < p(j) of
+                         f(i) + size - (p(j) - p(i)),
+                         min over i with p(j) - p(i) a power of two of f(i) ),
 
-the minimum of ``f(i) + p(i)`` over a sliding range, kept in a monotone queue;
-powers of two are looked up beside it at the end of a block only, so elsewhere a
-window of 1024 tokens counts as padded. Linear in the number of candidates.
+where the first minimum is that of ``f(i) + p(i)`` over a sliding range, kept in
+a monotone queue, and the second has at most as many terms as there are powers
+below ``size``; they are found for all candidates at once. Of equal costs the
+longer window stands. Linear in the number of candidates.
 
 Ranges of documents are packed independently, so that tasks need nothing of
 each other; within a range, blocks of about ``block_tokens`` are solved one
@@ -71,17 +73,30 @@ def candidates(ends: np.ndarray, is_end: np.ndarray, max_run: int = MAX_RUN) ->
     return places, kind[places]
 
 
+def _powers_before(places: np.ndarray, size: int) -> list[tuple[int, ...] | list[int]]:
+    """For each candidate the candidates a power of two below ``size`` before it, ascending."""
+    index = np.full(int(places[-1]) + 1, -1, np.int32)
+    index[places] = np.arange(len(places), dtype=np.int32)
+    ends, begins = [], []
+    for step in (1 << k for k in reversed(range(size.bit_length())) if 1 << k < size):
+        first = int(np.searchsorted(places, step))
+        found = index[places[first:] - step]
+        has = np.flatnonzero(found >= 0)
+        ends.append(has + first)
+        begins.append(found[has])
+    end, begin = np.concatenate([*ends, np.empty(0, np.int64)]), np.concatenate([*begins, np.empty(0, np.int32)])
+    order = np.argsort(end, kind="stable")
+    bounds = np.searchsorted(end[order], np.arange(len(places) + 1)).tolist()
+    flat = begin[order].tolist()
+    return [flat[a:b] if b > a else () for a, b in zip(bounds, bounds[1:])]
+
+
 def cut(places: np.ndarray, kinds: np.ndarray, size: int = SIZE, penalties=(0, SENTENCE_PENALTY, FORCED_PENALTY)) -> list[int]:
     """Ends of the windows over ``places`` (from 0 to the last) of least cost."""
     p = places.tolist()
     price = np.array(penalties)[kinds].tolist()
     price[-1] = 0
-    at = {x: i for i, x in enumerate(p)}
-    get = at.get
-    # Full windows cost nothing in either way; of the shorter powers, those that can beat padding.
-    powers = [1 << k for k in range(size.bit_length()) if 1 << k < size]
-    total = p[-1]
-    near_end = total - size  # short windows only pay where little is left
+    befores = _powers_before(places, size)
     best, back = [0] * len(p), [0] * len(p)
     queue: deque[tuple[int, int]] = deque([(0, 0)])  # (f + p, index), ascending from the left
     pop, push, popleft = queue.pop, queue.append, queue.popleft
@@ -92,15 +107,13 @@ def cut(places: np.ndarray, kinds: np.ndarray, size: int = SIZE, penalties=(0, S
             popleft()
         value, i = queue[0]
         value += size - here
-        if here > near_end:
-            for step in powers:
-                k = get(here - step)
-                if k is not None and best[k] < value:
-                    value, i = best[k], k
+        for k in befores[j]:  # ascending: the longest window first
+            if best[k] < value or best[k] == value and k < i:
+                value, i = best[k], k
         value += price[j]
         best[j], back[j] = value, i
         key = value + here
-        while queue and queue[-1][0] >= key:
+        while queue and queue[-1][0] > key:
             pop()
         push((key, j))
     out, j = [], len(p) - 1
@@ -162,7 +175,8 @@ def pack(
     """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Null text: only the end id. Null ids come first, rows of one id go by their
-    text, each a document of its own. An empty table gives no rows. Sequence ids
+    text, each a document of its own; what repeats very often is dealt to several
+    tasks all the same. An empty table gives no rows. Sequence ids
     ascend with the documents; they are unique, not gapless. Other columns of
     ``docs`` are not looked at.
     """
@@ -193,4 +207,4 @@ def pack(
 
     common.tune(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.repartitionByRange("id").sortWithinPartitions("id", "text").mapInArrow(run, PIECES)
+    return common.in_order(rows).mapInArrow(run, PIECES)
