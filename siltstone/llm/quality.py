@@ -29,6 +29,8 @@ THRESHOLD = 0.7
 #: Labelled rows that a model is fitted on at most; of more, those of least hash.
 MAX_TRAINING_ROWS = 200_000
 SEED = 7
+#: Parts of the training rows that are summed by themselves.
+PARTS = 16
 
 _KINDS = np.zeros(256, np.int64)  # 0 other
 for _k, _c in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\r\x0b\f", b"\n", b".,", b"|", bytes(range(128, 256)), b"!?;:'\"()-"), 1):
@@ -111,12 +113,32 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array([s / c for _, c, s in blocks]), np.array([v for v, _, _ in blocks])
 
 
-def fit(train: DataFrame, max_rows: int = MAX_TRAINING_ROWS, fourier: int = FOURIER, ridge: float = RIDGE) -> Model:
-    """A model of ``train`` (doc_id, x, label). Without rows, or with one label only, its scores are constant."""
-    spark = train.sparkSession
-    n = train.count()
-    if n > max_rows:  # the rows of least hash: about max_rows, the same ones in every run
-        train = train.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * max_rows / n))
+def held_out(doc_id):
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 4 == 2
+
+
+def training_labels(labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> DataFrame:
+    """(id, label) to learn from, about ``max_rows`` at most: never those held out, never null labels, one row an id.
+
+    Of more, those of least hash, the same ones in every run. At 12 bytes a row the
+    table's bound allows to broadcast it.
+    """
+    own = labels.select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("label"))
+    own = own.where(F.col("label").isNotNull() & ~held_out(F.col("id"))).groupBy("id").agg(F.min("label").alias("label"))
+    n = own.count()
+    if n > max_rows:
+        own = own.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * max_rows / n))
+    return own
+
+
+def _saved(train: DataFrame) -> DataFrame:
+    """Training rows, one an id, few and read several times: written once, in few files."""
+    one = train.groupBy("doc_id").agg(F.min(F.struct("x", "label")).alias("r")).select("doc_id", "r.*")
+    return common.save(train.sparkSession, one.repartition(PARTS, "doc_id"), "training")
+
+
+def fit(train: DataFrame, fourier: int = FOURIER, ridge: float = RIDGE) -> Model:
+    """A model of ``train`` (doc_id, x, label), a small table. Without rows, or with one label only, its scores are constant."""
     moments = [f for k in range(FEATURES) for f in (F.avg(F.get("x", F.lit(k))), F.stddev_pop(F.get("x", F.lit(k))))]
     found = train.agg(*moments, F.avg("label")).first()
     rng = np.random.default_rng(SEED)
@@ -139,8 +161,8 @@ def fit(train: DataFrame, max_rows: int = MAX_TRAINING_ROWS, fourier: int = FOUR
         if size:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
 
-    # Training rows are bounded, so these are few rows of some 300 kB.
-    rows = train.select("x", F.col("label").cast("int")).coalesce(16)
+    # One row of some 300 kB a part.
+    rows = train.select("x", F.col("label").cast("int")).coalesce(PARTS)
     total = sum(np.frombuffer(r[0]).reshape(fourier + 1, fourier + 2) for r in rows.mapInArrow(sums, "part binary").collect())
     a, b = total[:, :-1], total[:, -1]
     solved = np.linalg.solve(a + ridge * len(a) * np.eye(len(a)), b)
@@ -157,21 +179,9 @@ def fit(train: DataFrame, max_rows: int = MAX_TRAINING_ROWS, fourier: int = FOUR
     curve = sorted(tuple(r) for r in bins.agg(F.avg("s"), F.avg("label"), F.count("*")).collect())
     _, x, y, w = (np.array(c, float) for c in zip(*curve))
     knots, values = isotonic(x, y, w)
-    # A small rise along the raw score keeps the order within level parts of the curve.
     return Model(centre, scale, weights, phases, solved, knots, values)
 
 
-def held_out(doc_id):
-    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 4 == 2
-
-
-def labelled(features: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows to learn from: never those held out, never null labels, one row an id."""
-    own = labels.select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("label"))
-    own = own.where(F.col("label").isNotNull() & ~held_out(F.col("id"))).dropDuplicates(["id"])
-    return features.join(own, features["doc_id"] == own["id"]).select("doc_id", "x", "label")
-
-
 def scores(
     docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -185,7 +195,8 @@ def scores(
     spark = docs.sparkSession
     common.tune(spark)
     features = common.save(spark, feature_table(docs, id_col, text_col), "statistics")
-    model = fit(labelled(features, labels))
+    own = F.broadcast(training_labels(labels))
+    model = fit(_saved(features.join(own, features["doc_id"] == own["id"]).select("doc_id", "x", "label")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,11 +215,15 @@ def scores(
 def keep_good(
     docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """``docs`` without the rows that score below ``threshold``; columns as they were, nothing shuffled but statistics."""
-    spark = docs.sparkSession
-    common.tune(spark)
-    features = common.save(spark, feature_table(docs, id_col, text_col), "statistics")
-    model = fit(labelled(features, labels))
+    """``docs`` without the rows that score below ``threshold``; columns as they were, no text shuffled.
+
+    The model's rows are read first, by a broadcast of their ids; then one pass scores and filters.
+    """
+    common.tune(docs.sparkSession)
+    own = F.broadcast(training_labels(labels).withColumnRenamed("id", "its_id"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    known = feature_table(rows.join(own, F.col("id") == F.col("its_id"), "left_semi"), "id", "text")
+    model = fit(_saved(known.join(own, F.col("doc_id") == F.col("its_id")).select("doc_id", "x", "label")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
