@@ -1,16 +1,18 @@
-"""Operator 2: repeated byte strings across documents by sparse external induced sorting.
+"""Operator 2: repeated byte strings across documents by sorted suffix tuples of sampled places.
 
-Sorting every suffix of the corpus, as full induced sorting does, costs several
-passes over tuples many times the text. Here the recursion's first step keeps
-far fewer: like the locally least suffixes of induced sorting, an *anchor* is a
-place where the hash of ``GRAM`` bytes is least within a window, so equal
-strings of ``WINDOW`` bytes have the same anchor at the same place. Every
-string of WINDOW bytes belongs to just one anchor.
+This is not the external induced sorting of every suffix that the operator is
+named after: that writes tuples of several times the text in each pass (the
+README gives the figures). What is kept of it is the sampling of locally least
+places, the external sort of suffix tuples, and the induction of all other
+strings' order from theirs. An *anchor* is a place where the hash of ``GRAM``
+bytes is least within a window, so equal strings of ``WINDOW`` bytes have the
+same anchor at the same place, and every string of WINDOW bytes belongs to just
+one anchor.
 
 1. Documents are packed into blocks of a few MB, written once to a bucketed
    table. Each block sends the distinct keys of its anchors, four bytes each,
-   to buckets. A bucket answers with a bit for each key: seen in two documents
-   or not, and seen in very many blocks or not.
+   to buckets, one row for each bucket that gets any. A bucket answers with a bit
+   for each key: seen in two documents or not, and seen in very many blocks or not.
 2. Anchors seen twice send their suffix tuple: up to WINDOW bytes to the right,
    up to WINDOW - GRAM to the left, and the least document of the block that has
    it. Tuples travel through Spark's shuffle, whose external sorter merges runs
@@ -19,13 +21,16 @@ string of WINDOW bytes belongs to just one anchor.
    strings that begin ``o`` bytes before their anchors is induced from these:
    strings are equal just if no common prefix below WINDOW - o and no common
    suffix below ``o`` lies between them. The least document of each class goes
-   back to the block. Strings of anchors seen in very many blocks travel one by
-   one, under the hash of the whole string, so no common string makes a bucket
-   large.
+   back to the block.
 3. Each block marks the bytes of strings whose class has a smaller document.
 
-Blocks, buckets and answers grow with the input in number, not in size. No
-step emits pairs: a class sends its minimum.
+Strings of anchors seen in more than ``HOT_BLOCKS`` blocks are rows of their own,
+a 128-bit hash and a document: their minimum is a partial aggregate and an equi-
+join, so a string in every block is one row a task before the shuffle. The keys of
+a bucket are merged in groups of so many blocks first, likewise. No step emits
+pairs: a class sends its minimum. The rows of step 1 are at most one for each
+anchor key, so they grow in proportion to the input; blocks and buckets grow up to
+``MOST_BLOCK_BYTES`` where a block has fewer keys than there are buckets.
 """
 
 from __future__ import annotations
@@ -48,7 +53,9 @@ WINDOW = 50
 GRAM = 24
 BLOCK_BYTES = 2 << 20
 BUCKET_BYTES = 4 << 20
-#: An anchor in more blocks than this sends its strings one by one.
+#: The most that blocks grow to.
+MOST_BLOCK_BYTES = 64 << 20
+#: An anchor in more blocks than this sends its strings one by one; a bucket's lists of more blocks are merged in groups.
 HOT_BLOCKS = 4096
 
 _NULL_RANK = np.iinfo(np.int64).max  # a document without id comes after all others
@@ -138,6 +145,28 @@ def _bytes_at(text: np.ndarray, begins: np.ndarray, width: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(text, width)[begins] if len(begins) else np.empty((0, width), np.uint8)
 
 
+def _runs(ordered: np.ndarray) -> tuple[list[int], list[int]]:
+    """The distinct values of an ascending array and the bounds of their runs."""
+    heads = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(ordered) else np.empty(0, np.int64)
+    return ordered[heads].astype(np.int64).tolist(), [*heads.tolist(), len(ordered)]
+
+
+def _key_list(keys: np.ndarray, twice: np.ndarray) -> bytes:
+    return np.uint32(len(keys)).tobytes() + keys.tobytes() + np.packbits(twice).tobytes()
+
+
+def _read_key_lists(lists: list[bytes]) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Lengths of key lists, all their keys, and whether two documents of one block have each."""
+    sizes = [int.from_bytes(x[:4], "little") for x in lists]
+    keys = np.concatenate([np.frombuffer(x, "<u4", n, 4) for x, n in zip(lists, sizes)])
+    twice = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8, offset=4 + 4 * n), count=n) for x, n in zip(lists, sizes)])
+    return sizes, keys, twice > 0
+
+
+def _bits(seen: np.ndarray, hot: np.ndarray) -> bytes:
+    return np.packbits(seen).tobytes() + np.packbits(hot).tobytes()
+
+
 class _Block:
     """The documents of one block with their anchors; equal for equal content, wherever it runs."""
 
@@ -152,10 +181,10 @@ class _Block:
         hashed = _rows_hash(grams)
         bucket = (hashed >> np.uint64(32)) % np.uint64(buckets)
         self.keys, self.of_key = np.unique(bucket << np.uint64(32) | hashed & np.uint64(0xFFFFFFFF), return_inverse=True)
-        self.bounds = np.searchsorted(self.keys >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
+        self.used, self.bounds = _runs(self.keys >> np.uint64(32))
 
-    def key_lists(self) -> list[bytes]:
-        """For each bucket: number of keys, the keys ascending, and whether two documents here have each."""
+    def key_lists(self) -> tuple[list[int], list[bytes]]:
+        """Buckets that get keys, and for each: number of keys, the keys ascending, and whether two documents here have each."""
         rank = self.ids[self.doc]
         low = np.full(len(self.keys), _NULL_RANK)
         high = np.full(len(self.keys), np.iinfo(np.int64).min)
@@ -163,28 +192,20 @@ class _Block:
         np.maximum.at(high, self.of_key, rank)
         low_keys = (self.keys & np.uint64(0xFFFFFFFF)).astype("<u4")
         twice = low != high
-        return [
-            np.uint32(b - a).tobytes() + low_keys[a:b].tobytes() + np.packbits(twice[a:b]).tobytes()
-            for a, b in zip(self.bounds, self.bounds[1:])
-        ]
+        return self.used, [_key_list(low_keys[a:b], twice[a:b]) for a, b in zip(self.bounds, self.bounds[1:])]
 
     def tuples(self, answers: dict[int, bytes]) -> None:
-        """Suffix tuples of anchors that ``answers`` marks, distinct, in an order that a rerun repeats."""
+        """Suffix tuples of anchors that ``answers`` marks, distinct, in an order that a rerun repeats; strings of hot ones."""
         window, side = self.window, self.window - self.gram
         twice, hot = np.zeros(len(self.keys), bool), np.zeros(len(self.keys), bool)
+        bounds = dict(zip(self.used, zip(self.bounds, self.bounds[1:])))
         for bucket, bits in answers.items():
-            a, b = self.bounds[bucket], self.bounds[bucket + 1]
+            a, b = bounds[bucket]
             got = np.unpackbits(np.frombuffer(bits, np.uint8)).view(bool)
             twice[a:b], hot[a:b] = got[: b - a], got[len(got) // 2 : len(got) // 2 + b - a]
-        use = twice[self.of_key]
+        use = (twice & ~hot)[self.of_key]
         place, first, last, doc = (x[use] for x in (self.place, self.first, self.last, self.doc))
-        single = hot[self.of_key][use]
-        if single.any():
-            n = (last - first + 1)[single]
-            starts = np.repeat(first[single], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            place, first, last, doc = (
-                np.concatenate((x[~single], y)) for x, y in zip((place, first, last, doc), (starts, starts, starts, np.repeat(doc[single], n)))
-            )
+        self._hot_strings((twice & hot)[self.of_key])
         left, right = place - first, last + window - place
         self.rows = np.zeros((len(place), -(-(side + window + 2) // 8) * 8), np.uint8)
         padded = np.concatenate((np.zeros(side, np.uint8), self.text, np.zeros(window, np.uint8)))
@@ -195,12 +216,9 @@ class _Block:
         self.rows[:, side : side + window] *= np.arange(window, dtype=np.uint8) < right.astype(np.uint8)[:, None]
         self.rows[:, side + window], self.rows[:, side + window + 1] = left, right
         hashed = _rows_hash(self.rows)
-        # Which bucket: by what all documents with the string agree on.
-        grams = np.zeros((len(place), -(-window // 8) * 8), np.uint8)
-        alone = np.concatenate((np.zeros(int((~single).sum()), bool), np.ones(len(place) - int((~single).sum()), bool)))
-        width = np.where(alone, window, self.gram).astype(np.uint8)
-        grams[:, :window] = self.rows[:, side : side + window]
-        grams[:, :window] *= np.arange(window, dtype=np.uint8) < width[:, None]
+        # Which bucket: by what all documents with the anchor agree on.
+        grams = np.zeros((len(place), -(-self.gram // 8) * 8), np.uint8)
+        grams[:, : self.gram] = self.rows[:, side : side + self.gram]
         bucket = _rows_hash(grams) % np.uint64(self.buckets)
         order = np.lexsort((hashed, bucket))
         hashed, bucket = hashed[order], bucket[order]
@@ -212,18 +230,33 @@ class _Block:
         self.rows = self.rows[order[starts]]
         ranks = self.ids[doc][order]
         self.least = np.minimum.reduceat(ranks, starts) if len(starts) else np.empty(0, np.int64)
-        self.tuple_bounds = np.searchsorted(bucket[starts], np.arange(self.buckets + 1, dtype=np.uint64))
-
-    def removed(self, least_of: dict[int, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Bytes covered by strings that a smaller document has; least_of: by bucket, counts and least documents."""
+        self.tuple_used, self.tuple_bounds = _runs(bucket[starts])
+
+    def _hot_strings(self, use: np.ndarray) -> None:
+        """Each string of the anchors in ``use``: its place, document and hash; of each hash the least document here."""
+        n = (self.last - self.first + 1)[use]
+        self.hot_starts = np.repeat(self.first[use], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        self.hot_docs = np.repeat(self.doc[use], n)
+        raw = np.zeros((len(self.hot_starts), -(-self.window // 8) * 8), np.uint8)
+        raw[:, : self.window] = _bytes_at(self.text, self.hot_starts, self.window)
+        pair = np.stack((_rows_hash(raw), _rows_hash(raw ^ np.uint8(0xA5))), axis=1)
+        distinct, self.of_hot = np.unique(pair, axis=0, return_inverse=True)
+        self.of_hot = self.of_hot.reshape(-1)
+        self.hot_hashes = [x.tobytes() for x in distinct]
+        self.hot_least = np.full(len(distinct), _NULL_RANK)
+        np.minimum.at(self.hot_least, self.of_hot, self.ids[self.hot_docs])
+
+    def removed(self, least_of: dict[int, tuple[np.ndarray, np.ndarray]], hot_least: dict[bytes, int]) -> np.ndarray:
+        """Bytes covered by strings that a smaller document has.
+
+        ``least_of``: by bucket, counts and least documents; ``hot_least``: by hash of a hot string, its least document.
+        """
         first, last, doc = self.occurrence
         counts = np.zeros(len(self.rows), np.int64)
         values = []
-        for bucket in range(self.buckets):
-            a, b = self.tuple_bounds[bucket], self.tuple_bounds[bucket + 1]
-            if b > a:
-                counts[a:b], found = least_of[bucket]
-                values.append(found)
+        for bucket, a, b in zip(self.tuple_used, self.tuple_bounds, self.tuple_bounds[1:]):
+            counts[a:b], found = least_of[bucket]
+            values.append(found)
         values = np.concatenate([*values, np.empty(0, np.int64)])
         begins = np.cumsum(counts) - counts
         n = last - first + 1
@@ -232,6 +265,9 @@ class _Block:
         hit = least < np.repeat(self.ids[doc], n)
         starts = np.zeros(len(self.text) + 1, np.int32)
         starts[(np.repeat(first, n) + within)[hit]] = 1
+        if len(self.hot_starts):
+            least = np.array([hot_least[h] for h in self.hot_hashes], np.int64)[self.of_hot]
+            starts[self.hot_starts[least < self.ids[self.hot_docs]]] = 1
         running = np.cumsum(starts[:-1])
         covered = running.copy()
         covered[self.window :] -= running[: -self.window]
@@ -277,11 +313,18 @@ def induce(rows: np.ndarray, least: np.ndarray, window: int, gram: int) -> tuple
 
 # ---------------------------------------------------------------- dealing
 
-BLOCKS = "block long, ids binary, lengths binary, text binary, keys array<binary>"
+BLOCKS = "block long, ids binary, lengths binary, text binary, buckets array<int>, keys array<binary>"
+
+
+def sizes(total: int, block_bytes: int, bucket_bytes: int, most: int = MOST_BLOCK_BYTES, keys_a_byte: float = 1 / 14) -> tuple[int, int]:
+    """Bytes of a block and number of buckets for a text of ``total`` bytes: blocks grow until they have a key for most buckets."""
+    while 2 * block_bytes <= most and block_bytes * keys_a_byte < total / bucket_bytes:
+        block_bytes, bucket_bytes = 2 * block_bytes, 2 * bucket_bytes
+    return block_bytes, max(64, -(-total // bucket_bytes))
 
 
 def _write_blocks(docs: DataFrame, name: str, buckets: int, window: int, gram: int, block_bytes: int) -> None:
-    names = ["block", "ids", "lengths", "text", "keys"]
+    names = ["block", "ids", "lengths", "text", "buckets", "keys"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held, size = TaskContext.get().partitionId() << 32, [], 0
@@ -291,8 +334,8 @@ def _write_blocks(docs: DataFrame, name: str, buckets: int, window: int, gram: i
             lengths = np.array([len(t) for _, t in held], np.int64)
             raw = b"".join(t for _, t in held)
             made = _Block(ids, lengths, np.frombuffer(raw, np.uint8), buckets, window, gram)
-            values = [number, ids.tobytes(), lengths.tobytes(), _pack(raw), made.key_lists()]
-            types = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.binary())]
+            values = [number, ids.tobytes(), lengths.tobytes(), _pack(raw), *made.key_lists()]
+            types = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.binary())]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names)
 
         for batch in batches:
@@ -310,26 +353,79 @@ def _write_blocks(docs: DataFrame, name: str, buckets: int, window: int, gram: i
     docs.mapInArrow(run, BLOCKS).write.bucketBy(files, "block").saveAsTable(name)
 
 
+ANSWERS = "block long, bucket int, bits binary"
+
+
 def _answer_keys(hot_blocks: int):
     def run(group: pa.Table) -> pa.Table:
-        lists = group.column("list").to_pylist()
-        sizes = [int.from_bytes(x[:4], "little") for x in lists]
-        keys = np.concatenate([np.frombuffer(x, "<u4", n, 4) for x, n in zip(lists, sizes)])
-        twice = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8, offset=4 + 4 * n), count=n) for x, n in zip(lists, sizes)])
+        lengths, keys, twice = _read_key_lists(group.column("list").to_pylist())
         distinct, of, blocks = np.unique(keys, return_inverse=True, return_counts=True)
         seen = blocks > 1
-        seen[of[twice > 0]] = True
+        seen[of[twice]] = True
         seen, hot = seen[of], (blocks > hot_blocks)[of]
-        ends = np.cumsum(sizes)
-        bits = [
-            np.packbits(seen[e - n : e]).tobytes() + np.packbits(hot[e - n : e]).tobytes()
-            for e, n in zip(ends.tolist(), sizes)
-        ]
+        ends = np.cumsum(lengths).tolist()
+        bits = [_bits(seen[e - n : e], hot[e - n : e]) for e, n in zip(ends, lengths)]
         return pa.table({"block": group.column("block"), "bucket": group.column("bucket"), "bits": pa.array(bits, pa.binary())})
 
     return run
 
 
+def _merge_keys(group: pa.Table) -> pa.Table:
+    """One list of a bucket's keys in one group of blocks, with the number of blocks that have each."""
+    _, keys, twice = _read_key_lists(group.column("list").to_pylist())
+    distinct, of, blocks = np.unique(keys, return_inverse=True, return_counts=True)
+    seen = np.zeros(len(distinct), bool)
+    seen[of[twice]] = True
+    return pa.table({
+        "bucket": group.column("bucket").slice(0, 1), "part": group.column("part").slice(0, 1),
+        "list": pa.array([_key_list(distinct, seen)], pa.binary()), "blocks": pa.array([blocks.astype("<u4").tobytes()], pa.binary()),
+    })
+
+
+def _answer_merged(hot_blocks: int):
+    """For the merged lists of a bucket, a bit for each key as ``_answer_keys`` gives them."""
+
+    def run(group: pa.Table) -> pa.Table:
+        lengths, keys, twice = _read_key_lists(group.column("list").to_pylist())
+        blocks = np.concatenate([np.frombuffer(x, "<u4") for x in group.column("blocks").to_pylist()]).astype(np.int64)
+        distinct, of = np.unique(keys, return_inverse=True)
+        total = np.bincount(of, weights=blocks, minlength=len(distinct))
+        seen = total > 1
+        seen[of[twice]] = True
+        seen, hot = seen[of], (total > hot_blocks)[of]
+        ends = np.cumsum(lengths).tolist()
+        bits = [_bits(seen[e - n : e], hot[e - n : e]) for e, n in zip(ends, lengths)]
+        own = [keys[e - n : e].astype("<u4").tobytes() for e, n in zip(ends, lengths)]
+        return pa.table({
+            "bucket": group.column("bucket"), "part": group.column("part"), "keys": pa.array(own, pa.binary()), "bits": pa.array(bits, pa.binary()),
+        })
+
+    return run
+
+
+def _answer_blocks(lists: pa.Table, answer: pa.Table) -> pa.Table:
+    """The answers of a merged list given to each block's own list."""
+    lengths, keys, _ = _read_key_lists(lists.column("list").to_pylist())
+    known = np.frombuffer(answer.column("keys")[0].as_py(), "<u4")
+    got = np.unpackbits(np.frombuffer(answer.column("bits")[0].as_py(), np.uint8)).view(bool)
+    at = np.searchsorted(known, keys)
+    seen, hot = got[at], got[len(got) // 2 + at]
+    ends = np.cumsum(lengths).tolist()
+    bits = [_bits(seen[e - n : e], hot[e - n : e]) for e, n in zip(ends, lengths)]
+    return pa.table({"block": lists.column("block"), "bucket": lists.column("bucket"), "bits": pa.array(bits, pa.binary())})
+
+
+def _answers(lists: DataFrame, blocks: int, hot_blocks: int) -> DataFrame:
+    """Bits for the keys of each list (block, bucket, list); with very many blocks, groups of blocks are merged first."""
+    parts = -(-blocks // hot_blocks)
+    if parts == 1:
+        return lists.groupBy("bucket").applyInArrow(_answer_keys(hot_blocks), ANSWERS)
+    lists = lists.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int"))
+    merged = lists.groupBy("bucket", "part").applyInArrow(_merge_keys, "bucket int, part int, list binary, blocks binary")
+    answer = merged.groupBy("bucket").applyInArrow(_answer_merged(hot_blocks), "bucket int, part int, keys binary, bits binary")
+    return lists.groupBy("bucket", "part").cogroup(answer.groupBy("bucket", "part")).applyInArrow(_answer_blocks, ANSWERS)
+
+
 def _load(row: pa.Table, answers: pa.Table, buckets: int, window: int, gram: int) -> _Block:
     one = row.to_pylist()[0]
     text = np.frombuffer(_unpack(one["text"]), np.uint8)
@@ -342,13 +438,15 @@ def _load(row: pa.Table, answers: pa.Table, buckets: int, window: int, gram: int
 def _send_tuples(buckets: int, window: int, gram: int):
     def run(row: pa.Table, answers: pa.Table) -> pa.Table:
         made = _load(row, answers, buckets, window, gram)
-        used = [b for b in range(buckets) if made.tuple_bounds[b + 1] > made.tuple_bounds[b]]
-        cuts = [slice(made.tuple_bounds[b], made.tuple_bounds[b + 1]) for b in used]
+        cuts = [slice(a, b) for a, b in zip(made.tuple_bounds, made.tuple_bounds[1:])]
+        n = len(cuts) + 1  # the last row has the hot strings
         return pa.table({
-            "block": pa.array([row.column("block")[0].as_py()] * len(used), pa.int64()),
-            "bucket": pa.array(used, pa.int32()),
-            "rows": pa.array([_pack(made.rows[c].tobytes()) for c in cuts], pa.binary()),
-            "least": pa.array([_pack(made.least[c].tobytes()) for c in cuts], pa.binary()),
+            "block": pa.array([row.column("block")[0].as_py()] * n, pa.int64()),
+            "bucket": pa.array([*made.tuple_used, None], pa.int32()),
+            "rows": pa.array([*(_pack(made.rows[c].tobytes()) for c in cuts), None], pa.binary()),
+            "least": pa.array([*(_pack(made.least[c].tobytes()) for c in cuts), None], pa.binary()),
+            "hashes": pa.array([None] * len(cuts) + [made.hot_hashes], pa.list_(pa.binary())),
+            "lows": pa.array([None] * len(cuts) + [made.hot_least.tolist()], pa.list_(pa.int64())),
         })
 
     return run
@@ -394,7 +492,10 @@ def _mark(buckets: int, window: int, gram: int):
     def run(row: pa.Table, answers: pa.Table) -> pa.Table:
         made = _load(row, answers, buckets, window, gram)
         found = zip(answers.column("bucket").to_pylist(), answers.column("found").to_pylist())
-        gone = made.removed({bucket: _read_found(raw) for bucket, raw in found if raw is not None})
+        hot = zip(answers.column("hash").to_pylist(), answers.column("low").to_pylist())
+        gone = made.removed(
+            {bucket: _read_found(raw) for bucket, raw in found if raw is not None}, {h: low for h, low in hot if h is not None}
+        )
         begins = np.concatenate(([0], made.ends[:-1])).tolist()
         removed, spans, kept = [], [], []
         for b, e in zip(begins, made.ends.tolist()):
@@ -439,22 +540,26 @@ def remove_repeats(
     raw = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), raw.alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(64, -(-total // bucket_bytes))
+    block_bytes, buckets = sizes(total, block_bytes, bucket_bytes)
     name = f"blocks_{uuid.uuid4().hex}"
     _write_blocks(rows, name, buckets, window, gram, block_bytes)
     blocks = spark.table(name)
-    lists = blocks.select("block", F.posexplode("keys").alias("bucket", "list")).where(F.length("list") > 4)
-    keyed = lists.groupBy("bucket").applyInArrow(_answer_keys(hot_blocks), "block long, bucket int, bits binary")
-    bits = common.save(spark, keyed, "anchor-answers")
+    lists = blocks.select("block", F.inline(F.arrays_zip(F.col("buckets").alias("bucket"), F.col("keys").alias("list"))))
+    bits = common.save(spark, _answers(lists, blocks.count(), hot_blocks), "anchor-answers")
     texts = blocks.select("block", "ids", "lengths", "text")
-    sent = texts.groupBy("block").cogroup(bits.groupBy("block"))
-    sent = sent.applyInArrow(
-        _send_tuples(buckets, window, gram), "block long, bucket int, rows binary, least binary"
-    )
-    found = sent.groupBy("bucket").applyInArrow(_answer_tuples(window, gram), "block long, bucket int, found binary")
-    answers = bits.select("block", "bucket", "bits", F.lit(None).cast("binary").alias("found")).unionAll(
-        found.select("block", "bucket", F.lit(None).cast("binary").alias("bits"), "found")
+    sent = texts.groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(
+        _send_tuples(buckets, window, gram), "block long, bucket int, rows binary, least binary, hashes array<binary>, lows array<long>"
     )
+    if blocks.count() > hot_blocks:  # else nothing is hot
+        sent = common.save(spark, sent, "suffix-tuples")
+        strings = sent.where("bucket is null").select("block", F.inline(F.arrays_zip(F.col("hashes").alias("hash"), F.col("lows").alias("low"))))
+        least = strings.groupBy("hash").agg(F.min("low").alias("low"))
+        hot = strings.select("block", "hash").join(least, "hash")
+    else:
+        hot = spark.createDataFrame([], "block long, hash binary, low long")
+    tuples = sent.where("bucket is not null").select("block", "bucket", "rows", "least")
+    found = tuples.groupBy("bucket").applyInArrow(_answer_tuples(window, gram), "block long, bucket int, found binary")
+    answers = bits.unionByName(found, allowMissingColumns=True).unionByName(hot.select("block", "hash", "low"), allowMissingColumns=True)
     marked = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_mark(buckets, window, gram), RESULT)
     out = common.save(spark, marked, "kept")
     spark.sql(f"DROP TABLE {name}")
