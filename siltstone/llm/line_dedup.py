@@ -1,22 +1,27 @@
 """Operator 5: repeated and nearly repeated lines by a segment-partition edit join.
 
 Lines are stripped; empty ones count for nothing. Of equal lines the first
-occurrence, by document id and line number, stands for all. A line of ``l``
-characters is cut into ``edits + 1`` segments; a line within ``edits`` edits of
-it and not shorter holds one of them unchanged, near its place (Li et al.,
-"Pass-Join"), so it probes an index of segments, by length, with few
-substrings. Bit-parallel automata decide on each pair found. Edits grow with the
-line if asked for; long lines then send keys for every place (``_Plan``).
-
-1. Documents are packed into blocks, written once to a bucketed table. Blocks
-   send their distinct lines' hashes to buckets, which tell the block that has
-   the first occurrence.
-2. Those blocks send four-byte hashes of all segments and probes; a bucket
-   answers which ones meet an other line's. Only lines with such a hash go on.
+occurrence, by document id and line number, stands for all. Two lines are near
+when their distance is within one edit for each ``GROW`` characters of the shorter
+one, however long it is: below ``GROW`` characters lines are near only if equal. A
+line is cut into one segment more than its edits; a line that is near it and not
+shorter holds one of them unchanged, near its place (Li et al., "Pass-Join"). So a
+line sends a key for each of its segments and, as a longer line, for each of its
+substrings: the hash of as many characters as a segment of that class of lengths
+has, the class, and a range of places. Bit-parallel automata decide on the pairs
+that meet.
+
+1. Documents are packed into blocks, written once to a bucketed table with the
+   hashes of their distinct lines. A partial minimum for each hash gives the block
+   that has the first occurrence; a line in every block is one row a task.
+2. Those blocks send four-byte hashes of all segments and probes, one row for each
+   bucket that gets any; a bucket answers which ones meet an other line's. Only
+   lines with such a hash go on.
 3. Lines that share a live segment meet in a task. A segment of very many lines
-   is cut into blocks on either side, each pair of blocks a task. Tasks return
-   a row a line, its number of links and its first linked occurrence: no pairs.
-   A pair that shares several segments counts at the first one only.
+   is cut into blocks on either side, each pair of blocks a task. Counts of
+   characters rule most pairs out for a whole side at once. Tasks return a row a
+   line, its number of links and its first linked occurrence: no pairs. A pair
+   that shares several segments counts at the first one only.
 4. Each block drops repeats, and first occurrences linked with an earlier line.
 """
 
@@ -35,13 +40,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .suffix_dedup import _NULL_RANK, _pack, _unpack
+from .suffix_dedup import _NULL_RANK, _pack, _runs, _unpack, sizes
 
-#: Least edits of a near line, and the characters for each edit of longer ones.
-EDITS = 2
+#: Characters of a line for each edit that a near one may have.
 GROW = 16
-#: Lines of fewer characters are repeats only when equal.
-SHORT = 24
 BLOCK_BYTES = 2 << 20
 BUCKET_BYTES = 4 << 20
 #: Most lines on one side of a task.
@@ -131,11 +133,6 @@ def _columns(a: str, b: str, edits: int) -> bool:
     return score <= edits
 
 
-def budget(length: int, edits: int, grow: int) -> int:
-    """Edits that a line of ``length`` characters may be from a longer one: one for ``grow`` characters, ``edits`` at least."""
-    return max(edits, length // grow) if grow else edits
-
-
 # ---------------------------------------------------------------- segments
 
 
@@ -143,45 +140,13 @@ def _cuts(length: int, edits: int) -> list[int]:
     return [length * i // (edits + 1) for i in range(edits + 2)]
 
 
-def probes(length: int, of: int, edits: int) -> list[tuple[int, int, int]]:
-    """(segment, start, end) of the substrings of a line with ``length`` that may equal one of a line with ``of``."""
-    cuts, delta, out = _cuts(of, edits), length - of, []
-    for i in range(edits + 1):
-        size = cuts[i + 1] - cuts[i]
-        low = max(0, cuts[i] - i, cuts[i] + delta - (edits - i))
-        high = min(length - size, cuts[i] + i, cuts[i] + delta + (edits - i))
-        out.extend((i, start, start + size) for start in range(low, high + 1))
-    return out
-
-
 class _Plan:
-    """Index segments and probes of each length, worked out once.
+    """Keys of lines by their length; classes of lengths are worked out once."""
 
-    Lines whose budget is ``edits`` are probed as above. Of longer ones the number of
-    probes would grow with the cube of the budget; their segments go by the segment's
-    first characters, a class of lengths and a range of places instead, so a line
-    sends a few keys for each of its characters.
-    """
-
-    def __init__(self, edits: int, short: int, grow: int = 0):
-        self.edits, self.short, self.grow, self.kept = edits, short, grow, {}
-        #: The least length with a larger budget, and the lengths at which classes begin.
-        self.long = (edits + 1) * grow if grow else 1 << 62
-        self.starts, self.classes = [self.long], {}
-
-    def of(self, n: int):
-        if n not in self.kept:
-            cuts = _cuts(n, self.edits)
-            index = [(i, cuts[i], cuts[i + 1], n << 4 | i) for i in range(self.edits + 1)] if n < self.long else []
-            own = {(i, a, b) for i, a, b, _ in index}
-            asked = [
-                (i, a, b, of << 4 | i)
-                for of in range(max(self.short, n - self.edits), min(n + 1, self.long))
-                for i, a, b in probes(n, of, self.edits)
-                if of < n or (i, a, b) not in own
-            ]
-            self.kept[n] = index, asked
-        return self.kept[n]
+    def __init__(self, grow: int):
+        self.grow = grow
+        #: The lengths at which classes begin.
+        self.starts, self.classes = [grow], {}
 
     def class_of(self, n: int) -> int:
         while self.starts[-1] <= n:
@@ -193,16 +158,16 @@ class _Plan:
         if c not in self.classes:
             self.class_of(self.starts[min(c, len(self.starts) - 1)])
             lengths = range(self.starts[c], self.starts[c + 1])
-            most = budget(lengths[-1], self.edits, self.grow)
-            self.classes[c] = min(n // (budget(n, self.edits, self.grow) + 1) for n in lengths), most, 2 * most + 1
+            most = lengths[-1] // self.grow
+            self.classes[c] = min(n // (n // self.grow + 1) for n in lengths), most, 2 * most + 1
         return self.classes[c]
 
     def grams(self, line: str) -> tuple[np.ndarray, np.ndarray]:
-        """Keys of a long line's segments, and of its probes that are none of these."""
+        """Keys of a line's segments, and of its probes that are none of these."""
         n = len(line)
         x = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
         own, least = self.class_of(n), n
-        while least > self.long and least - 1 + budget(least - 1, self.edits, self.grow) >= n:
+        while least > self.grow and least - 1 + (least - 1) // self.grow >= n:
             least -= 1
         asked, index = [], None
         for c in range(self.class_of(least), own + 1):
@@ -212,7 +177,7 @@ class _Plan:
                 h = h * _STEP + x[i : n - size + 1 + i]
             at = np.arange(len(h))
             if c == own:
-                cut = np.array(_cuts(n, budget(n, self.edits, self.grow))[:-1])
+                cut = np.array(_cuts(n, n // self.grow)[:-1])
                 index = _mixed(h[cut], cut // places)
             asked.extend((_mixed(h, np.maximum(at - most, 0) // places), _mixed(h, (at + most) // places)))
         return index, np.setdiff1d(np.concatenate(asked), index)
@@ -249,8 +214,8 @@ def may_be_within(a: str, b: str, edits: int) -> bool:
 class _Lines:
     """The lines of one block: each distinct line with its first occurrence here, and all occurrences."""
 
-    def __init__(self, ids: np.ndarray, texts: list[str], buckets: int):
-        self.ids, self.texts, self.buckets = ids, texts, buckets
+    def __init__(self, ids: np.ndarray, texts: list[str]):
+        self.ids, self.texts = ids, texts
         entry: dict[str, int] = {}
         self.lines: list[str] = []
         self.occurrences: list[list[int]] = []  # for each document, the entry of each line, -1: empty
@@ -276,66 +241,36 @@ class _Lines:
         self.first_doc = np.array([f[0] for f in first], np.int64)
         self.first_line = np.array([f[1] for f in first], np.int64)
         self.rank = self.ids[self.first_doc] if len(first) else np.empty(0, np.int64)
-        raw = b"".join(xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass")) for line in self.lines)
-        self.hashes = np.frombuffer(raw, np.uint64).reshape(-1, 2)
-        bucket = (self.hashes[:, 0] % np.uint64(buckets)).astype(np.int64)
-        self.order = np.argsort(bucket, kind="stable")
-        self.bounds = np.searchsorted(bucket[self.order], np.arange(buckets + 1))
-
-    def hash_lists(self) -> list[bytes]:
-        table = np.concatenate(
-            (self.hashes.astype(np.uint64).view(np.int64), self.rank[:, None], self.first_line[:, None]), axis=1
-        )
-        table = table[self.order]
-        return [table[a:b].tobytes() for a, b in zip(self.bounds, self.bounds[1:])]
-
-    def owned(self, answers: dict[int, bytes]) -> np.ndarray:
+
+    def hashes(self) -> list[bytes]:
+        return [xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass")) for line in self.lines]
+
+    def owned(self, entries: list[int]) -> np.ndarray:
         """For each entry whether its first occurrence of all is the one here."""
         out = np.zeros(len(self.lines), bool)
-        for bucket, bits in answers.items():
-            a, b = self.bounds[bucket], self.bounds[bucket + 1]
-            out[self.order[a:b]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).view(bool)
+        out[entries] = True
         return out
 
-    def keys(self, own: np.ndarray, plan: _Plan):
-        """Of owned lines: entry, place in the plan (negative: probe), and hash, by bucket."""
-        entries, places, hashed, long = [], [], [], []
-        digest = xxhash.xxh3_64_intdigest
+    def keys(self, own: np.ndarray, plan: _Plan, buckets: int):
+        """Of owned lines: entry, segment (negative: probe) and hash by bucket, segments first; buckets and their bounds."""
+        entries, places, hashed = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
         for k in np.flatnonzero(own).tolist():
             line = self.lines[k]
-            if len(line) < plan.short:
-                continue
-            index, asked = plan.of(len(line))
-            for at, (_, a, b, seed) in enumerate(index):
-                entries.append(k)
-                places.append(at)
-                hashed.append(digest(line[a:b].encode("utf-8", "surrogatepass"), seed))
-            for at, (_, a, b, seed) in enumerate(asked):
-                entries.append(k)
-                places.append(-1 - at)
-                hashed.append(digest(line[a:b].encode("utf-8", "surrogatepass"), seed))
-            if len(line) >= plan.long:
+            if len(line) >= plan.grow:
                 found, others = plan.grams(line)
-                at = np.concatenate((np.arange(len(found)), np.full(len(others), _GRAM)))
-                long.append((np.full(len(at), k), at, np.concatenate((found, others))))
-        more = [np.concatenate(x) for x in zip(*long)] or [[], [], []]
-        entries = np.concatenate((np.array(entries, np.int64), more[0])).astype(np.int64)
-        places = np.concatenate((np.array(places, np.int64), more[1])).astype(np.int64)
-        hashed = np.concatenate((np.array(hashed, np.uint64), np.asarray(more[2], np.uint64)))
-        bucket = ((hashed >> np.uint64(32)) % np.uint64(self.buckets)).astype(np.int64)
+                entries.append(np.full(len(found) + len(others), k))
+                places.append(np.concatenate((np.arange(len(found)), np.full(len(others), -1))))
+                hashed.extend((found, others))
+        entries, places, hashed = (np.concatenate(x) for x in (entries, places, hashed))
+        bucket = ((hashed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
         order = np.lexsort((places < 0, bucket))
-        bounds = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
-        return entries[order], places[order], hashed[order], bounds
-
-
-#: The place of a long line's probes.
-_GRAM = -1 << 40
+        return entries[order], places[order], hashed[order], *_runs(bucket[order])
 
 
 # ---------------------------------------------------------------- dealing
 
 
-def _write_blocks(docs: DataFrame, name: str, buckets: int, block_bytes: int) -> None:
+def _write_blocks(docs: DataFrame, name: str, block_bytes: int) -> None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held, size = TaskContext.get().partitionId() << 32, [], 0
 
@@ -343,10 +278,11 @@ def _write_blocks(docs: DataFrame, name: str, buckets: int, block_bytes: int) ->
             ids = np.array([_NULL_RANK if k is None else k for k, _ in held], np.int64)
             raw = [t.encode("utf-8", "surrogatepass") for _, t in held]
             lengths = np.array([len(r) for r in raw], np.int64)
-            lists = _Lines(ids, [t for _, t in held], buckets).hash_lists()
-            values = [number, ids.tobytes(), lengths.tobytes(), _pack(b"".join(raw)), lists]
-            types = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.binary())]
-            names = ["block", "ids", "lengths", "text", "lists"]
+            made = _Lines(ids, [t for _, t in held])
+            lines = [made.hashes(), made.rank.tolist(), made.first_line.tolist()]
+            values = [number, ids.tobytes(), lengths.tobytes(), _pack(b"".join(raw)), *lines]
+            types = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            names = ["block", "ids", "lengths", "text", "hashes", "ranks", "numbers"]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names)
 
         for batch in batches:
@@ -360,48 +296,29 @@ def _write_blocks(docs: DataFrame, name: str, buckets: int, block_bytes: int) ->
             yield block()
 
     files = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    schema = "block long, ids binary, lengths binary, text binary, lists array<binary>"
+    schema = "block long, ids binary, lengths binary, text binary, hashes array<binary>, ranks array<long>, numbers array<long>"
     docs.mapInArrow(run, schema).write.bucketBy(files, "block").saveAsTable(name)
 
 
-def _load(row: pa.Table, buckets: int) -> tuple[int, _Lines]:
+def _load(row: pa.Table) -> tuple[int, _Lines]:
     one = row.to_pylist()[0]
     raw = _unpack(one["text"])
     ends = np.cumsum(np.frombuffer(one["lengths"], np.int64)).tolist()
     texts = [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip([0, *ends], ends)]
-    return one["block"], _Lines(np.frombuffer(one["ids"], np.int64), texts, buckets)
+    return one["block"], _Lines(np.frombuffer(one["ids"], np.int64), texts)
 
 
-def _answers(table: pa.Table, column: str) -> dict[int, bytes]:
-    pairs = zip(table.column("bucket").to_pylist(), table.column(column).to_pylist())
-    return {bucket: got for bucket, got in pairs if got is not None}
+def _entries(table: pa.Table) -> list[int]:
+    return [k for k, is_own in zip(table.column("entry").to_pylist(), table.column("own").to_pylist()) if is_own]
 
 
-def _first_occurrences(group: pa.Table) -> pa.Table:
-    lists = group.column("list").to_pylist()
-    tables = [np.frombuffer(x, np.int64).reshape(-1, 4) for x in lists]
-    sizes = [len(t) for t in tables]
-    block = np.repeat(group.column("block").to_numpy(), sizes)
-    table = np.concatenate(tables)
-    order = np.lexsort((block, table[:, 3], table[:, 2], table[:, 1], table[:, 0]))
-    ordered = table[order, :2]
-    first = np.zeros(len(table), bool)
-    first[order[np.concatenate(([True], (ordered[1:] != ordered[:-1]).any(axis=1)))]] = True
-    ends = np.cumsum(sizes).tolist()
-    bits = [np.packbits(first[e - n : e]).tobytes() for e, n in zip(ends, sizes)]
-    return pa.table({"block": group.column("block"), "bucket": group.column("bucket"), "own": pa.array(bits, pa.binary())})
-
-
-def _send_keys(buckets: int, edits: int, short: int, grow: int):
+def _send_keys(buckets: int, grow: int):
     def run(row: pa.Table, answers: pa.Table) -> pa.Table:
-        block, made = _load(row, buckets)
-        _, places, hashed, bounds = made.keys(made.owned(_answers(answers, "own")), _Plan(edits, short, grow))
+        block, made = _load(row)
+        _, places, hashed, used, bounds = made.keys(made.owned(_entries(answers)), _Plan(grow), buckets)
         low = (hashed & np.uint64(0xFFFFFFFF)).astype("<u4")
-        used = [b for b in range(buckets) if bounds[b + 1] > bounds[b]]
-        sent = []
-        for b in used:
-            part = slice(bounds[b], bounds[b + 1])
-            sent.append(np.uint32((places[part] >= 0).sum()).tobytes() + low[part].tobytes())
+        cuts = [slice(a, b) for a, b in zip(bounds, bounds[1:])]
+        sent = [np.uint32((places[c] >= 0).sum()).tobytes() + low[c].tobytes() for c in cuts]
         return pa.table({
             "block": pa.array([block] * len(used), pa.int64()), "bucket": pa.array(used, pa.int32()),
             "list": pa.array(sent, pa.binary()),
@@ -429,31 +346,24 @@ MEMBERS = (
 )
 
 
-def _send_lines(buckets: int, edits: int, short: int, grow: int):
+def _send_lines(buckets: int, grow: int):
     names = [c.split()[0] for c in MEMBERS.split(", ")]
     types = [pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
 
     def run(row: pa.Table, answers: pa.Table) -> pa.Table:
-        block, made = _load(row, buckets)
-        plan = _Plan(edits, short, grow)
-        entries, places, hashed, bounds = made.keys(made.owned(_answers(answers, "own")), plan)
+        block, made = _load(row)
+        entries, places, hashed, used, bounds = made.keys(made.owned(_entries(answers)), _Plan(grow), buckets)
+        cuts = dict(zip(used, zip(bounds, bounds[1:])))
         live = np.zeros(len(entries), bool)
-        for bucket, bits in _answers(answers, "live").items():
-            a, b = bounds[bucket], bounds[bucket + 1]
-            live[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).view(bool)
+        for bucket, bits in zip(answers.column("bucket").to_pylist(), answers.column("live").to_pylist()):
+            if bits is not None:
+                a, b = cuts[bucket]
+                live[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).view(bool)
         out = []
         for at in np.flatnonzero(live).tolist():
-            k, place = int(entries[at]), int(places[at])
-            index, asked = plan.of(len(made.lines[k]))
-            if place == _GRAM:
-                i = -1
-            elif place >= 0:
-                i = index[place][0] if index else place
-            else:
-                i = asked[-1 - place][0]
-            key = int(hashed[at].view(np.int64))
-            out.append((key, place < 0, i, block, k, int(made.rank[k]), int(made.first_line[k]), made.lines[k]))
-            if place >= 0:  # a line of the same length may hold it in the same place
+            k, i, key = int(entries[at]), int(places[at]), int(hashed[at].view(np.int64))
+            out.append((key, i < 0, i, block, k, int(made.rank[k]), int(made.first_line[k]), made.lines[k]))
+            if i >= 0:  # a line of the same length may hold it in the same place
                 out.append((key, True, i, block, k, int(made.rank[k]), int(made.first_line[k]), made.lines[k]))
         columns = list(zip(*out)) or [[]] * len(names)
         return pa.table({n: pa.array(c, t) for n, c, t in zip(names, columns, types)})
@@ -464,16 +374,25 @@ def _send_lines(buckets: int, edits: int, short: int, grow: int):
 LINKS = "block long, entry long, n_links long, rank long, line_no long"
 
 
-def _join(edits: int, short: int, grow: int):
+def _counts(lines: list[str]) -> np.ndarray:
+    """How often each of 32 classes of characters occurs in each line."""
+    out = np.zeros((len(lines), 32), np.int32)
+    for k, line in enumerate(lines):
+        x = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4")
+        out[k] = np.bincount(x & 31, minlength=32)
+    return out
+
+
+def _join(grow: int):
     """Links of one task: for each line their number and the earliest linked occurrence."""
 
     def run(group: pa.Table) -> pa.Table:
         names = ("key", "i", "j", "probe", "segment", "block", "entry", "rank", "line_no", "line")
         met: dict = {}
-        plan = _Plan(edits, short, grow)
+        plan = _Plan(grow)
         for key, i, j, probe, segment, block, entry, rank, number, line in zip(*(group.column(n).to_pylist() for n in names)):
             sides = met.setdefault((key, i, j), ({}, {}))
-            # Several segments of a long line may have one key.
+            # Several segments of a line may have one key.
             sides[probe][(block, entry) if probe else (block, entry, segment)] = (segment, (rank, number, block, entry), line)
         links: dict = {}
 
@@ -489,28 +408,24 @@ def _join(edits: int, short: int, grow: int):
         return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(names, columns)})
 
     def pairs(index: dict, asked: dict, note, plan: _Plan) -> None:
-        for (*x, _), (i, when_x, a) in index.items():
-            x, of, most = tuple(x), len(a), budget(len(a), edits, grow)
-            cuts, long = _cuts(of, most), of >= plan.long
-            size = plan.shape(plan.class_of(of))[0] if long else 0
-            for y, (i_y, when_y, b) in asked.items():
+        others = list(asked.items())
+        lines = [x[2] for _, x in others]
+        lengths, counts = np.array([len(x) for x in lines]), _counts(lines)
+        for ((*x, _), (i, when_x, a)), own in zip(index.items(), _counts([v[2] for v in index.values()])):
+            x, of = tuple(x), len(a)
+            most = of // grow
+            # An edit changes at most two counts by one; the line is not longer than its probe.
+            open_ = (lengths >= of) & (lengths - of <= most)
+            open_[open_] = np.abs(counts[open_] - own).sum(axis=1) <= 2 * most
+            size = plan.shape(plan.class_of(of))[0]
+            for at in np.flatnonzero(open_).tolist():
+                y, (_, when_y, b) = others[at]
                 # Of two lines of one length the earlier one is the index; a pair counts at its first common segment.
-                if len(b) < of or len(b) - of > most or x == y or len(b) == of and when_x > when_y:
+                if x == y or len(b) == of and when_x > when_y:
                     continue
-                if long:
-                    if first_common(a, b, size, most) == i and may_be_within(a, b, most) and within(a, b, most):
-                        note(x, when_y)
-                        note(y, when_x)
-                    continue
-                if i != i_y:
-                    continue
-                earlier = i and any(
-                    a[cuts[k] : cuts[k + 1]] == b[s:e] for k, s, e in probes(len(b), of, edits) if k < i
-                )
-                if not earlier and any(a[cuts[k] : cuts[k + 1]] == b[s:e] for k, s, e in probes(len(b), of, edits) if k == i):
-                    if within(a, b, edits):
-                        note(x, when_y)
-                        note(y, when_x)
+                if first_common(a, b, size, most) == i and may_be_within(a, b, most) and within(a, b, most):
+                    note(x, when_y)
+                    note(y, when_x)
 
     return run
 
@@ -518,14 +433,14 @@ def _join(edits: int, short: int, grow: int):
 RESULT = "doc_id long, n_lines long, n_repeats long, n_near long, n_links long, kept_sha256 string"
 
 
-def _mark(buckets: int, texts: bool):
+def _mark(texts: bool):
     def run(row: pa.Table, answers: pa.Table) -> pa.Table:
-        _, made = _load(row, buckets)
-        own = made.owned(_answers(answers, "own"))
+        _, made = _load(row)
+        own = made.owned(_entries(answers))
         links = np.zeros(len(made.lines), np.int64)
         near = np.zeros(len(made.lines), bool)
         for k, n, rank, number in zip(*(answers.column(c).to_pylist() for c in ("entry", "n_links", "rank", "line_no"))):
-            if k is not None:
+            if n is not None:
                 links[k] = n
                 near[k] = (rank, number) < (int(made.rank[k]), int(made.first_line[k]))
         out = []
@@ -559,45 +474,42 @@ def deduplicate_lines(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    edits: int = EDITS,
-    short: int = SHORT,
+    grow: int = GROW,
     block_bytes: int = BLOCK_BYTES,
     bucket_bytes: int = BUCKET_BYTES,
     task_lines: int = TASK_LINES,
     texts: bool = False,
-    grow: int = 0,
 ) -> DataFrame:
     """Per row of ``docs``: doc_id, n_lines, n_repeats, n_near, n_links, kept_sha256.
 
     ``n_lines`` counts non-empty stripped lines, ``n_repeats`` those equal to an
-    earlier line, ``n_near`` first occurrences within ``edits`` edits of an earlier
-    line, ``n_links`` the links of the distinct lines that first occur here. Both
-    kinds are dropped; what is left is joined by line feeds and hashed, or returned
-    in place of the hash with ``texts``. Lines below ``short`` characters are never
-    near. With ``grow`` a line may have an edit for each ``grow`` characters of the
-    shorter of two, ``edits`` at least. Null text is empty. Documents with a null id come last; rows of one id go
-    by their blocks. An empty table gives no rows. Other columns are not looked at.
+    earlier line, ``n_near`` first occurrences near an earlier line, ``n_links`` the
+    links of the distinct lines that first occur here. Both kinds are dropped; what
+    is left is joined by line feeds and hashed, or returned in place of the hash with
+    ``texts``. Lines are near within one edit for each ``grow`` characters of the
+    shorter of two. Null text is empty. Documents with a null id come last; rows of
+    one id go by their blocks. An empty table gives no rows. Other columns are not
+    looked at.
     """
     spark = docs.sparkSession
     common.tune(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), common.text_of(text_col).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(64, -(-total // bucket_bytes))
+    block_bytes, buckets = sizes(total, block_bytes, bucket_bytes, keys_a_byte=1)
     name = f"lines_{uuid.uuid4().hex}"
-    _write_blocks(rows, name, buckets, block_bytes)
+    _write_blocks(rows, name, block_bytes)
     table = spark.table(name)
-    lists = table.select("block", F.posexplode("lists").alias("bucket", "list")).where(F.length("list") > 0)
-    own = lists.groupBy("bucket").applyInArrow(_first_occurrences, "block long, bucket int, own binary")
+    columns = F.arrays_zip(F.col("hashes").alias("hash"), F.col("ranks").alias("rank"), F.col("numbers").alias("number"))
+    lines = table.select("block", F.posexplode(columns).alias("entry", "line")).select("block", "entry", "line.*")
+    first = F.min(F.struct("rank", "number", "block", "entry")).alias("f")
+    own = lines.groupBy("hash").agg(first).select("f.block", "f.entry", F.lit(True).alias("own"))
     own = common.save(spark, own, "first-lines")
     blocks = table.select("block", "ids", "lengths", "text")
     keys = blocks.groupBy("block").cogroup(own.groupBy("block"))
-    keys = keys.applyInArrow(_send_keys(buckets, edits, short, grow), "block long, bucket int, list binary")
+    keys = keys.applyInArrow(_send_keys(buckets, grow), "block long, bucket int, list binary")
     live = keys.groupBy("bucket").applyInArrow(_live_keys, "block long, bucket int, live binary")
-    none = F.lit(None).cast("binary")
-    answers = own.select("block", "bucket", "own", none.alias("live")).unionAll(
-        live.select("block", "bucket", none.alias("own"), "live")
-    )
-    members = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_send_lines(buckets, edits, short, grow), MEMBERS)
+    answers = own.unionByName(live, allowMissingColumns=True)
+    members = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_send_lines(buckets, grow), MEMBERS)
     members = common.save(spark, members, "live-lines")
 
     # Segments of many lines are cut into blocks on both sides, each pair of blocks a task.
@@ -612,16 +524,12 @@ def deduplicate_lines(
     tasks = left.unionByName(right).drop("x", "y")
     # Small tasks share a call; their number grows with the input.
     together = F.pmod(F.xxhash64("key", "i", "j"), F.lit(4 * buckets)).alias("together")
-    linked = tasks.select("*", together).groupBy("together").applyInArrow(_join(edits, short, grow), LINKS)
-    first = F.min(F.struct("rank", "line_no"))
-    linked = linked.groupBy("block", "entry").agg(F.sum("n_links").alias("n_links"), first.alias("f"))
+    linked = tasks.select("*", together).groupBy("together").applyInArrow(_join(grow), LINKS)
+    earliest = F.min(F.struct("rank", "line_no"))
+    linked = linked.groupBy("block", "entry").agg(F.sum("n_links").alias("n_links"), earliest.alias("f"))
     linked = linked.select("block", "entry", "n_links", F.col("f.rank").alias("rank"), F.col("f.line_no").alias("line_no"))
-
-    empty = F.lit(None).cast("long")
-    final = own.select("block", "bucket", "own", *(empty.alias(c) for c in ("entry", "n_links", "rank", "line_no"))).unionByName(
-        linked.select("*", F.lit(None).cast("int").alias("bucket"), none.alias("own"))
-    )
-    marked = blocks.groupBy("block").cogroup(final.groupBy("block")).applyInArrow(_mark(buckets, texts), RESULT)
+    final = own.unionByName(linked, allowMissingColumns=True)
+    marked = blocks.groupBy("block").cogroup(final.groupBy("block")).applyInArrow(_mark(texts), RESULT)
     out = common.save(spark, marked, "kept-lines")
     spark.sql(f"DROP TABLE {name}")
     return out

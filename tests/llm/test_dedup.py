@@ -19,9 +19,11 @@ def sha(x):
 # ---------------------------------------------------------------- exact
 
 
-@pytest.mark.parametrize("digest", ["all", "survivors"])
-def test_exact_groups(hostile, digest):
-    got = sorted(exact.exact_groups(hostile, digest=digest).collect(), key=repr)
+@pytest.mark.parametrize("hot_keys", [1, 10_000])  # no key is hot, each key is
+@pytest.mark.parametrize("digest, small", [("all", 0), ("survivors", 1000), ("survivors", 0)])
+def test_exact_groups(hostile, digest, small, hot_keys, monkeypatch):
+    monkeypatch.setattr(exact, "HOT_KEYS", hot_keys)
+    got = sorted(exact.exact_groups(hostile, digest=digest, small=small).collect(), key=repr)
     groups = defaultdict(list)
     for k, t in hostile_rows():
         groups[t or ""].append(k)
@@ -41,6 +43,26 @@ def test_exact_filter_keeps_columns_and_one_of_each(hostile):
     assert sorted(texts) == sorted({t or "" for _, t in hostile_rows()})
 
 
+def test_exact_filter_reserves_no_names(spark):
+    rows = [(1, "a", 5, "x", 1, "s", 7), (2, "a", 6, "y", 2, "t", 8), (3, "b", 7, None, 3, "u", 9), (3, "b", 7, None, 3, "u", 9), (None, "b", 0, "z", 4, "v", 0)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, gone_id int, gone_sha string, __siltstone_id int, `_OWN_0` string, _own_1 int")
+    kept = exact.deduplicate(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect())) == sorted([rows[1], rows[2]])
+
+
+def test_levels_group_only_survivors(spark, tmp_path):
+    """Of texts of one length with one prefix, and of texts alone at a level."""
+    head = "p" * 64
+    texts = ["one", "two", "three", head + "a", head + "b", head + "a", "q" * 64 + "a", "alone by length"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.keep_id, r.group_size, r.text_sha256 is None) for r in exact.exact_groups(docs, digest="survivors").collect()}
+    assert got == {
+        0: (0, 1, True), 1: (1, 1, True), 2: (2, 1, True), 3: (5, 2, False), 4: (4, 1, False), 5: (5, 2, False),
+        6: (6, 1, True), 7: (7, 1, True),
+    }
+
+
 def test_exact_of_an_empty_table(empty):
     assert exact.exact_groups(empty).collect() == [] and exact.deduplicate(empty).collect() == []
 
@@ -78,6 +100,17 @@ def test_shingle_sets_match_words():
         assert len(found) == len(shingles(text))
 
 
+def test_words_that_a_polynomial_hash_confuses(spark):
+    """A Thue-Morse word and its complement are equal under any polynomial modulo a power of two."""
+    word = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
+    other = word.translate({97: 98, 98: 97})
+    rows = [(1, word), (2, other), (3, f"{word} x {other} y z"), (4, f"{other} x {word} y z"), (5, f"{word} {other}")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {k: (1, k) for k in range(1, 6)}
+    for n in (7, 8, 9, 63, 64, 65, 200):
+        assert len(shingle_sets([f"{word[:n]} {other[:n]}"], 1)[0]) == 2
+
+
 def test_near_duplicates(hostile):
     expected = brute_near(hostile_rows())
     for blocks in ({}, {"block_sets": 2}):  # large buckets as pairs of blocks
@@ -123,6 +156,12 @@ def test_components_of_chains_and_stars(spark):
     assert found == {k: 0 for k in range(1, 61)} | {200 + k: 100 for k in range(50)} | {301: 300}
 
 
+def test_unfinished_components_fail(spark):
+    links = spark.createDataFrame([(k + 1, k) for k in range(300)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        components(links, max_rounds=2)
+
+
 # ---------------------------------------------------------------- repeated byte strings
 
 
@@ -157,6 +196,23 @@ def test_repeats_of_an_empty_table(empty):
     assert suffix_dedup.remove_repeats(empty).collect() == []
 
 
+def test_a_string_in_every_block(spark):
+    """Hot strings go by themselves, bucket lists are merged in groups of blocks; the result is the same."""
+    rng = random.Random(6)
+    common = words(rng, 20)
+    rows = [(k, words(rng, 10) + "\n" + common + "\n" + words(rng, 10 + k % 3)) for k in range(40)] + [(None, common)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for hot in (3, 4096):
+        got = suffix_dedup.remove_repeats(docs, block_bytes=300, bucket_bytes=800, hot_blocks=hot)
+        assert sorted(map(tuple, got.collect()), key=repr) == brute_repeats(rows, 50)
+
+
+def test_blocks_grow_with_the_input():
+    assert suffix_dedup.sizes(1 << 30, 2 << 20, 4 << 20) == (2 << 20, 256)
+    block, buckets = suffix_dedup.sizes(100 << 40, 2 << 20, 4 << 20)
+    assert block <= 64 << 20 and buckets <= block / 14 * 1.01
+
+
 def test_anchors_own_each_string_once():
     rng = np.random.default_rng(2)
     text = rng.integers(97, 100, 5000).astype(np.uint8)
@@ -181,8 +237,9 @@ def edit_distance(a, b):
     return row[-1]
 
 
-def test_banded_distance_and_probes():
+def test_banded_distance_and_segments():
     rng = random.Random(3)
+    plan = line_dedup._Plan(4)
     for _ in range(3000):
         a = "".join(rng.choice("ab") for _ in range(rng.randint(0, 14)))
         b = list(a)
@@ -194,10 +251,10 @@ def test_banded_distance_and_probes():
         for edits in (1, 2, 3):
             assert line_dedup.within(a, b, edits) == (distance <= edits)
         short, long = sorted((a, b), key=len)
-        if distance <= 2 and len(short) >= 3:
-            cuts = line_dedup._cuts(len(short), 2)
-            probes = line_dedup.probes(len(long), len(short), 2)
-            assert any(short[cuts[i] : cuts[i + 1]] == long[s:e] for i, s, e in probes)
+        if len(short) >= 4 and distance <= len(short) // 4:
+            index, _ = plan.grams(short)
+            own, others = plan.grams(long)
+            assert set(index.tolist()) & {*own.tolist(), *others.tolist()}
 
 
 def line_rows():
@@ -215,15 +272,16 @@ def line_rows():
     return rows
 
 
-def brute_lines(rows, edits=2, short=24):
+def brute_lines(rows, grow=16):
     docs = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
     first = {}
     for d, (_, t) in enumerate(docs):
         for i, line in enumerate((t or "").split("\n")):
             if line.strip():
                 first.setdefault(line.strip(), (d, i))
-    long = [x for x in first if len(x) >= short]
-    linked = {x: [y for y in long if y != x and edit_distance(x, y) <= edits] for x in long}
+    allowed = lambda x, y: min(len(x), len(y)) // grow
+    close = lambda x, y: abs(len(x) - len(y)) <= allowed(x, y) and edit_distance(x, y) <= allowed(x, y)
+    linked = {x: [y for y in first if y != x and close(x, y)] for x in first}
     out = []
     for d, (k, t) in enumerate(docs):
         lines = repeats = near = links = 0
@@ -237,8 +295,8 @@ def brute_lines(rows, edits=2, short=24):
             if first[x] != (d, i):
                 repeats += 1
                 continue
-            links += len(linked.get(x, ()))
-            if any(first[y] < (d, i) for y in linked.get(x, ())):
+            links += len(linked[x])
+            if any(first[y] < (d, i) for y in linked[x]):
                 near += 1
             else:
                 kept.append(line)
@@ -257,11 +315,11 @@ def test_lines(spark, task_lines):
 
 
 def long_line_rows():
-    """Lines of 24 to 300 characters and copies with up to a little over one edit for 16 characters, or replaced words."""
+    """Lines of 12 to 300 characters and copies with up to a little over one edit for 16 characters, or replaced words."""
     rng = random.Random(21)
     rows = []
-    for k in range(10):
-        line = list(words(rng, [5, 7, 8, 9, 10, 16, 18, 20, 22, 50][k]))
+    for k in range(12):
+        line = list(words(rng, [5, 7, 8, 9, 10, 16, 18, 20, 22, 50, 3, 4][k]))
         for copy in range(4):
             edited = list(line)
             for _ in range(rng.randint(0, len(line) // 16 + 1)):
@@ -277,23 +335,10 @@ def long_line_rows():
 def test_edits_grow_with_the_line(spark, monkeypatch):
     rows = long_line_rows()
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    lines = {x.strip() for _, t in rows for x in t.split("\n")}
-    allowed = lambda x, y: max(2, min(len(x), len(y)) // 16)
-    close = lambda x, y: abs(len(x) - len(y)) <= allowed(x, y) and edit_distance(x, y) <= allowed(x, y)
-    linked = {x: [y for y in lines if y != x and min(len(x), len(y)) >= 24 and close(x, y)] for x in lines}
     monkeypatch.setattr(queries, "table", lambda *_: docs)
-    got = {r.doc_id: r for r in queries.op5_line_dedup(spark, "").collect()}
-    seen, n_far = set(), 0
-    for k, t in rows:
-        near = links = 0
-        for x in map(str.strip, t.split("\n")):
-            if x not in seen:
-                links += len(linked[x])
-                near += any(y in seen for y in linked[x])
-                n_far += any(y in seen and edit_distance(x, y) > 2 for y in linked[x])
-                seen.add(x)
-        assert (got[k].n_near, got[k].n_links) == (near, links)
-    assert n_far > 10
+    got = sorted(map(tuple, queries.op5_line_dedup(spark, "").collect()), key=repr)
+    expected = brute_lines(rows)
+    assert got == expected and sum(r[3] for r in expected) > 12
 
 
 def test_long_distances():
