@@ -124,7 +124,7 @@ def training_labels(labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> Dat
     table's bound allows to broadcast it.
     """
     own = labels.select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("label"))
-    own = own.where(F.col("label").isNotNull() & ~held_out(F.col("id"))).groupBy("id").agg(F.min("label").alias("label"))
+    own = own.where(F.col("id").isNotNull() & F.col("label").isNotNull() & ~held_out(F.col("id"))).groupBy("id").agg(F.min("label").alias("label"))
     n = own.count()
     if n > max_rows:
         own = own.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * max_rows / n))

@@ -1,8 +1,9 @@
 import corpus_pipeline
-from siltstone.llm import decontaminate, quality
+from siltstone.llm import quality
 from siltstone.llm.common import table
 
 from .test_dedup import brute_near
+from .test_text import brute_hits
 from .test_tokens import check_pieces
 
 SF = "/root/testdata/sf0.001"
@@ -20,8 +21,8 @@ def test_stages_and_their_brute_force(spark, tmp_path):
     last = {t: k for k, t in sorted(left.items())}
     left = {k: left[k] for k in last.values()}
     left = {k: left[k] for k, (_, c) in brute_near(list(left.items())).items() if c == k}
-    items = next(decontaminate.blocks_of(table(spark, SF, "benchmark")))
-    left = {k: t for k, t in left.items() if not any(i in decontaminate.normalise(t) for _, i in items)}
+    hit = {k for k, _ in brute_hits(list(left.items()), [tuple(r) for r in table(spark, SF, "benchmark").collect()])}
+    left = {k: t for k, t in left.items() if k not in hit}
     pieces = corpus_pipeline.run(spark, SF).collect()
     assert {p.doc_id for p in pieces} == set(left)
     library = Tokenizer.from_file(tokens.vocabulary_path())

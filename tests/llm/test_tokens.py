@@ -48,6 +48,22 @@ def test_token_ids_of_hostile_rows(hostile, library):
     assert got == expected
 
 
+def test_rows_without_ids_fill_several_ranges(spark, library):
+    """Two thirds of all rows have no id and one text: they share no single task, and each keeps its place."""
+    from siltstone.llm.common import in_order
+
+    rows = [(None, "the same text") for _ in range(4000)] + [(k, f"text {k}") for k in range(2000)]
+    docs = spark.createDataFrame(rows, "id long, text string").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = in_order(docs).rdd.glom().map(len).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(sizes) < 2000
+    got = sorted(tuple(r) for r in token_ids.digest(docs, id_col="id").select("start", "n_tokens").collect())
+    assert len(got) == 6000 and all(a + n == b for (a, n), (b, _) in zip(got, got[1:]))
+
+
 def test_token_ids_of_an_empty_table(empty):
     assert token_ids.digest(empty).collect() == []
 
@@ -105,7 +121,7 @@ def brute_cost(places, price, size):
         for i in range(j):
             length = places[j] - places[i]
             if length <= size:
-                pad = 0 if length & (length - 1) == 0 and places[j] > places[-1] - size else size - length
+                pad = 0 if length & (length - 1) == 0 else size - length
                 cost = best[i] + pad + price[j]
                 best[j] = cost if best[j] is None else min(best[j], cost)
     return best[-1]
@@ -123,7 +139,7 @@ def test_windows_have_least_cost():
         cost, at = 0, 0
         for end in windows:
             length = end - at
-            pad = 0 if length & (length - 1) == 0 and end > places[-1] - 16 else 16 - length
+            pad = 0 if length & (length - 1) == 0 else 16 - length
             cost += pad + price[np.searchsorted(places, end)]
             at = end
         assert windows[-1] == places[-1] and cost == brute_cost(places.tolist(), price.tolist(), 16)
