@@ -81,7 +81,32 @@ def name_hash(name: Column, limit: int = 101) -> Column:
     return F.lower(F.concat(F.lpad(F.hex(pair["high"]), 8, "0"), F.lpad(F.hex(pair["low"]), 8, "0")))
 
 
+def long_name(record: Column) -> Column:
+    """The name in a long-name record's payload, up to its first NUL, without its first component."""
+    text = F.regexp_extract(F.hex(record), r"^((?:..)*?)(?:00|$)", 1)
+    return without_first(F.decode(F.unhex(text), "UTF-8"))
+
+
+def long_name_hashes(name: Column) -> tuple[Column, Column]:
+    """Hashes of a member with a long name: of the record that carries the name, one less, and of the member itself."""
+    own = name_hash(name, LONG_NAME_LIMIT)
+    # One less modulo 2**64, on the two halves of the sixteen digits.
+    high, low = (F.conv(F.substring(own, at, 8), 16, 10).cast("long") for at in (1, 9))
+    word = F.lit(0xFFFFFFFF)
+    down = F.when(low == 0, high - 1).otherwise(high).bitwiseAND(word)
+    record = F.lower(F.concat(F.lpad(F.hex(down), 8, "0"), F.lpad(F.hex((low - 1).bitwiseAND(word)), 8, "0")))
+    return record, own
+
+
 def natural_key(name: Column) -> Column:
-    """Digit runs by value, letters without case: a string that sorts that way."""
-    parts = F.regexp_extract_all(F.upper(name), F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, 20, "0")).otherwise(p)), "")
+    """Digit runs by value, letters without case: a string that sorts that way.
+
+    A run of digits is written without leading zeros behind its number of digits, four of them.
+    """
+    parts = F.regexp_extract_all(F.upper(name), F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1))
+
+    def key(part: Column) -> Column:
+        digits = F.regexp_replace(part, "^0+(?=[0-9])", "")
+        return F.when(part.rlike("^[0-9]"), F.concat(F.lpad(F.length(digits).cast("string"), 4, "0"), digits)).otherwise(part)
+
+    return F.array_join(F.transform(parts, key), "")

@@ -19,8 +19,13 @@ def mix(x: int) -> int:
 GEAR = np.array([mix(b) for b in range(256)], np.uint64)
 
 
-def windows(values: np.ndarray, base: int, width: int) -> np.ndarray:
-    """sum(values[i + k] * base ** (width - 1 - k)) mod 2**64 for each window of ``width`` values."""
+def windows(values: np.ndarray, base: int, width: int, modulus: int = 1 << 64) -> np.ndarray:
+    """sum(values[i + k] * base ** (width - 1 - k)) mod ``modulus`` for each window of ``width`` values.
+
+    The modulus is 2**64, or below 2**31 so that products of two remainders fit.
+    """
+    power = lambda n: np.uint64(pow(base, n, modulus))
+    rest_of = (lambda x: x) if modulus == 1 << 64 else (lambda x: x % np.uint64(modulus))
     out, have, part, span, rest = None, 0, values.astype(np.uint64), 1, width
     if len(values) < width:
         return np.empty(0, np.uint64)
@@ -30,12 +35,12 @@ def windows(values: np.ndarray, base: int, width: int) -> np.ndarray:
                 out, have = part, span
             else:
                 n = len(values) - have - span + 1
-                out = out[:n] * np.uint64(pow(base, span, 1 << 64)) + part[have : have + n]
+                out = rest_of(out[:n] * power(span) + part[have : have + n])
                 have += span
         rest >>= 1
         if not rest:
             return out
-        part = part[:-span] * np.uint64(pow(base, span, 1 << 64)) + part[span:]
+        part = rest_of(part[:-span] * power(span) + part[span:])
         span *= 2
 
 

@@ -32,6 +32,7 @@ def running_totals(df: DataFrame, order: str, totals: dict[str, str], width: int
     """``df`` with the sums so far, by the unique long ``order``, of columns: name of the sum -> column.
 
     Windows run within ranges of ``order``; one row a range carries the sums before it.
+    Those rows, one for ``width`` values of ``order``, meet in one task.
     """
     ranged = df.withColumn("_span", F.floor(F.col(order) / width))
     within = Window.partitionBy("_span").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
@@ -41,3 +42,14 @@ def running_totals(df: DataFrame, order: str, totals: dict[str, str], width: int
     own = ranged.withColumns({name: F.sum(c).over(within) for name, c in totals.items()})
     summed = own.join(carried, "_span").withColumns({n: F.col(n) + F.col(f"_{n}") for n in totals})
     return summed.drop("_span", *[f"_{n}" for n in totals])
+
+
+def running_totals_by(df: DataFrame, keys: list[str], order: str, value: str, name: str, width: int = RANGE) -> DataFrame:
+    """``df`` with the sum of ``value`` so far within ``keys``, by the long ``order``; a key with very many rows fills several ranges."""
+    ranged = df.withColumn("_span", F.floor(F.col(order) / width))
+    own = F.sum(value).over(Window.partitionBy(*keys, "_span").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    spans = ranged.groupBy(*keys, "_span").agg(F.sum(value).alias("_sum"))
+    before = F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1))
+    carried = spans.select(*keys, "_span", F.coalesce(before, F.lit(0)).alias("_before"))
+    summed = ranged.withColumn(name, own).join(carried, [*keys, "_span"])
+    return summed.withColumn(name, F.col(name) + F.col("_before")).drop("_span", "_before")

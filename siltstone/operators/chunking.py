@@ -90,8 +90,19 @@ def content_defined(df: DataFrame, content: str, cuts) -> DataFrame:
     return _finish(cut.withColumn("chunk", chunk).withColumn("offset", F.col("cut.offset")).drop("cut"), content)
 
 
+#: Archives whose members are cut apart, and archives rewritten with their headers last and then cut by content.
+ARCHIVES = ("tar", "tar_headers")
+REWRITTEN = {"mtar": "fastcdc", "mtar_gear": "gear", "mtar_fastcdc": "fastcdc"}
+
+
 def chunk(df: DataFrame, content: str = "content", how: str = "fixed", **sizes) -> DataFrame:
-    """Dispatch: ``fixed`` (size), ``fastcdc`` (least, average, most, normalized), ``gear`` (mask_bits)."""
+    """Dispatch by ``how``.
+
+    ``fixed`` (size), ``fastcdc`` (least, average, most, normalized), ``gear``
+    (mask_bits); ``tar`` and ``tar_headers`` (headers, big, least, average, most) add
+    kind and parts; ``mtar``, ``mtar_gear`` and ``mtar_fastcdc`` cut the rewritten
+    archive, whose chunks restore what ``tar.restore_migrated`` turns back.
+    """
     if how == "fixed":
         return fixed(df, content, sizes.get("size", 8192))
     if how == "fastcdc":
@@ -101,6 +112,13 @@ def chunk(df: DataFrame, content: str = "content", how: str = "fixed", **sizes)
     if how == "gear":
         bits = sizes.get("mask_bits", 13)
         return content_defined(df, content, lambda data: gear_cuts(data, bits))
+    from . import tar
+
+    if how in ARCHIVES:
+        headers = sizes.pop("headers", tar.HEADERS) if how == "tar_headers" else None
+        return tar.chunk_archives(df, content, headers, **sizes)
+    if how in REWRITTEN:
+        return chunk(df.withColumn(content, tar.rewritten(tar.migrate, content)), content, REWRITTEN[how], **sizes)
     raise ValueError(f"no chunker {how!r}")
 
 

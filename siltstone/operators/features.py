@@ -37,8 +37,12 @@ def n_transform(data: bytes, width: int = 64) -> list[int] | None:
     return [int(hashes[np.argmax(m)] & np.uint64(0xFFFFFFFF)) for m in mapped]
 
 
-def finesse(data: bytes, width: int = 48) -> list[int] | None:
-    """The greatest window hash of each of twelve equal parts; a part below ``width`` bytes gives zero."""
+# Base and modulus of the window hash of the twelve-part features.
+PART_BASE, PART_MODULUS, PART_WIDTH = 37, 1_000_000_007, 48
+
+
+def finesse(data: bytes, width: int = PART_WIDTH) -> list[int] | None:
+    """The greatest window hash of each of twelve equal parts; a part below ``width`` bytes gives zero, the last takes the rest."""
     if len(data) < COUNT:
         return None
     part = len(data) // COUNT
@@ -46,8 +50,8 @@ def finesse(data: bytes, width: int = 48) -> list[int] | None:
     out = []
     for k in range(COUNT):
         end = (k + 1) * part if k < COUNT - 1 else len(data)
-        hashes = windows(values[k * part : end], 37, width)
-        out.append(int(hashes.max() >> np.uint64(1)) if len(hashes) else 0)
+        hashes = windows(values[k * part : end], PART_BASE, width, PART_MODULUS)
+        out.append(int(hashes.max()) if len(hashes) else 0)
     return out if any(out) else None
 
 
@@ -67,7 +71,8 @@ def with_features(chunks: DataFrame, kind: str = "odess", sample_bits: int = 7)
 
 
 def _hash(features: Column) -> Column:
-    return F.xxhash64(F.concat_ws(",", features.cast("array<string>")))
+    """A 60-bit number of several features: the first digits of their MD5, which any engine can follow."""
+    return F.conv(F.substring(F.md5(F.concat_ws(",", features.cast("array<string>"))), 1, 15), 16, 10).cast("long")
 
 
 def consecutive(features: Column, groups: int, size: int) -> Column:

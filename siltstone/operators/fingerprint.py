@@ -2,16 +2,16 @@
 
 Order is always (version, seq). First occurrences are a minimum of a struct, so
 a chunk that a third of all versions share is one partial row a task before the
-shuffle. Dense ids come from sorted ranges: a count for each range, a running
-sum over the ranges, and a row number within; no window over all rows.
+shuffle. Dense ids come from sorted ranges of (version, seq), whatever the number
+of versions: a count for each range, their running sum, and a place within.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .asof import running_totals
+from ..plans.storage import save
 
 
 def with_fingerprint(chunks: DataFrame) -> DataFrame:
@@ -25,46 +25,26 @@ def first_occurrences(chunks: DataFrame, *extra: str) -> DataFrame:
 
 
 def with_order_number(df: DataFrame, *order: str, name: str, start: int = 0) -> DataFrame:
-    """``df`` with consecutive numbers by ``order``, which must tell all rows apart."""
-    ranged = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
-    within = Window.partitionBy("_range").orderBy(*order)
-    counts = df.sparkSession.createDataFrame(_running(ranged), "_range int, _before long")
-    return (
-        ranged.withColumn("_n", F.row_number().over(within))
-        .join(F.broadcast(counts), "_range")
-        .withColumn(name, (F.col("_before") + F.col("_n") - 1 + start).cast("long"))
-        .drop("_range", "_n", "_before")
-    )
-
-
-def _running(ranged: DataFrame) -> list[tuple[int, int]]:
-    """Rows before each range: one number a range, so as many as there are tasks."""
-    before, out = 0, []
-    for number, n in sorted(ranged.groupBy("_range").count().collect()):
-        out.append((number, before))
-        before += n
-    return out
-
-
-def with_bucketed_order(df: DataFrame, key: str, width: int, *order: str, name: str) -> DataFrame:
-    """Consecutive numbers by ``order`` without a sort of all rows: ranges are ``key // width``, fixed by the data.
+    """``df`` with consecutive numbers by ``order``, which must tell all rows apart.
 
-    The window runs within a range of ``width`` versions; the ranges' counts are summed in ranges again.
+    Rows are sorted in ranges and written once with their place in the range; the
+    driver adds up one count a range, so as many numbers as there were tasks.
     """
-    ranged = df.withColumn("_range", F.floor(F.col(key) / width).cast("long"))
-    counts = running_totals(ranged.groupBy("_range").count(), "_range", {"_through": "count"})
-    counts = counts.select("_range", (F.col("_through") - F.col("count")).alias("_before"))
-    n = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    return ranged.withColumn("_n", n).join(counts, "_range").withColumn(name, (F.col("_before") + F.col("_n") - 1).cast("long")).drop("_range", "_n", "_before")
-
-
-#: Versions whose chunks are numbered together.
-RANGE_VERSIONS = 256
+    spark = df.sparkSession
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = save(spark, ranged.select("*", F.spark_partition_id().alias("_range"), place.alias("_n")), "ranges")
+    before, starts = start, []
+    for number, n in sorted(ranged.groupBy("_range").count().collect()):
+        starts.append((number, before))
+        before += n
+    starts = spark.createDataFrame(starts, "_range int, _before long")
+    return ranged.join(F.broadcast(starts), "_range").withColumn(name, F.col("_before") + F.col("_n")).drop("_range", "_n", "_before")
 
 
 def chunk_index(chunks: DataFrame, *extra: str) -> DataFrame:
     """Unique chunks with their dense ids: the number of unique chunks before each first occurrence."""
-    return with_bucketed_order(first_occurrences(chunks, *extra), "version", RANGE_VERSIONS, "version", "seq", name="chunk_id")
+    return with_order_number(first_occurrences(chunks, *extra), "version", "seq", name="chunk_id")
 
 
 def recipes(chunks: DataFrame, index: DataFrame) -> DataFrame:

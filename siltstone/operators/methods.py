@@ -11,11 +11,12 @@ one pass, and not the same thing.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.storage import save
 from . import codec, similarity
+from .asof import running_totals
 from .features import super_features, with_features
 
 #: Feature kind and lookup of each method; position-based and name-based ones add their own matches.
@@ -29,7 +30,7 @@ METHODS = {
     "locality": None,
 }
 
-#: How much bases are taken to shrink until a run's own figure is known.
+#: How much bases are taken to shrink until the first one is stored.
 BASE_RATIO = 2.0
 
 
@@ -86,20 +87,53 @@ def fixed_filter(threshold: int):
     return lambda size, saved: F.floor(size / saved) >= threshold
 
 
-def adaptive_filter(local_ratio: float, delta_gain: float | None, deltas: int, bases: int, beta: float = 1.0):
-    """Accept when the whole-number shrink reaches the bases' ratio plus the gain a delta more would lose.
+def adaptive_least(local_in: Column, local_out: Column, delta_gains: Column, deltas: Column, bases: Column, beta: Column) -> Column:
+    """What a name's delta must shrink its chunk by: the bases' ratio so far and the gain of deltas that a new base may lose.
 
-    The running figures are those at the start of a version. Without deltas there
-    is no gain yet, and every delta is accepted.
+    ``local_in`` and ``local_out`` are bytes of bases before and after compression,
+    ``delta_gains`` the sum of the deltas' whole-number shrinks; the number of deltas
+    a base is whole too. Null, which accepts every delta, until there are bases and deltas.
     """
-    if not deltas or not bases or delta_gain is None:
-        return lambda size, saved: F.lit(True)
-    least = local_ratio + delta_gain * (deltas // bases) * beta
-    return lambda size, saved: F.floor(size / saved) >= least
+    ratio = local_in.cast("double") / local_out
+    gain = delta_gains.cast("double") / deltas
+    least = ratio + gain * F.floor(deltas / bases) * beta
+    return F.when((bases > 0) & (deltas > 0) & (local_out > 0), least)
+
+
+def adaptive_sweep(events: DataFrame, betas: DataFrame) -> DataFrame:
+    """(beta, version, named, accepted): name deltas, and those that the adaptive filter accepts, for each ``beta``.
+
+    ``events`` is a chunk log as in ``plans.metrics``; the running figures are those
+    of all versions before.
+    """
+    first = F.col("is_first")
+    is_base, is_delta = F.col("store_kind").startswith("base"), F.col("store_kind").startswith("delta")
+    shrink = F.floor(F.col("chunk_size") / F.col("save_size"))
+    figures = {"bases": (is_base, F.lit(1)), "base_in": (is_base, F.col("chunk_size")), "base_out": (is_base, F.col("save_size")),
+               "deltas": (is_delta, F.lit(1)), "gains": (is_delta, shrink)}
+    own = events.where(first).groupBy("version").agg(
+        *[F.coalesce(F.sum(F.when(when, value)), F.lit(0)).alias(name) for name, (when, value) in figures.items()]
+    )
+    through = running_totals(own, "version", {f"all_{name}": name for name in figures})
+    before = through.select("version", *[(F.col(f"all_{name}") - F.col(name)).alias(name) for name in figures])
+    named = events.where(first & (F.col("store_kind") == "delta_name")).select("version", shrink.alias("shrink"))
+    # A few parameter values beside every row.
+    rows = named.groupBy("version", "shrink").agg(F.count("*").alias("n")).join(before, "version").crossJoin(F.broadcast(betas))
+    least = adaptive_least(*(F.col(c) for c in ("base_in", "base_out", "gains", "deltas", "bases", "beta")))
+    accepted = F.sum(F.when(least.isNull() | (F.col("shrink") >= least), F.col("n")).otherwise(0))
+    return rows.groupBy("beta", "version").agg(F.sum("n").alias("named"), accepted.alias("accepted"))
+
+
+def fixed_sweep(events: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """(threshold, named, accepted): name deltas, and those that shrink their chunk by at least ``threshold`` in whole numbers."""
+    shrink = F.floor(F.col("chunk_size") / F.col("save_size"))
+    named = events.where(F.col("is_first") & (F.col("store_kind") == "delta_name")).groupBy(shrink.alias("shrink")).agg(F.count("*").alias("n"))
+    accepted = F.sum(F.when(F.col("shrink") >= F.col("threshold"), F.col("n")).otherwise(0))
+    return named.crossJoin(F.broadcast(thresholds)).groupBy("threshold").agg(F.sum("n").alias("named"), accepted.alias("accepted"))
 
 
 def reduce(
-    index: DataFrame, method: str = "odess", exact: bool = True, level: int = 1, accept=None, positions: DataFrame | None = None,
+    index: DataFrame, method: str = "odess", exact: bool = True, local: str = "lz4", accept=None, positions: DataFrame | None = None,
     least_ratio: float | None = None,
 ) -> DataFrame:
     """Stored chunks: chunk_id, store_kind, base_chunk_id, chunk_size, save_size, codec, payload.
@@ -108,9 +142,10 @@ def reduce(
     name_hash; it is read several times, so it should be a written table. A delta that is not smaller than its chunk is stored as a base would
     be, and nobody's base. ``accept`` (size, saved size -> condition) filters name
     deltas of ``hybrid``; a rejected one still stands when features find the same
-    base. ``locality`` takes its matches from ``positions`` (chunk_id, guess). A delta
-    must shrink its chunk by ``least_ratio`` at least, which for ``palantir`` is what
-    bases shrink by before any is known.
+    base. ``locality`` takes its matches from ``positions`` (chunk_id, guess). ``local``
+    names the codec of bases. A delta must shrink its chunk by ``least_ratio`` at least;
+    for ``palantir`` that is what the bases before it have shrunk by, ``BASE_RATIO``
+    before the first.
     """
     spark = index.sparkSession
     none = F.lit(None).cast("long")
@@ -137,10 +172,13 @@ def reduce(
     joined = index.select("chunk_id", "chunk_size", "chunk").join(
         matches.join(bases, "base_id"), "chunk_id", "left"
     )
-    coded = joined.withColumn("delta", codec.delta("chunk", "base_chunk")).withColumn("local", codec.local_codec(level)("chunk"))
-    least_ratio = least_ratio or (BASE_RATIO if method == "palantir" else 1.0)
+    coded = joined.withColumn("delta", codec.delta("chunk", "base_chunk")).withColumn("local", codec.local_codec(local)("chunk"))
+    least = F.lit(least_ratio or 1.0)
+    if method == "palantir" and least_ratio is None:
+        coded = _with_running_ratio(save(spark, coded.drop("chunk", "base_chunk"), "coded"))
+        least = F.col("least")
     saved = F.octet_length("delta")
-    use = F.col("delta").isNotNull() & (saved < F.col("chunk_size")) & (F.col("chunk_size") >= least_ratio * saved)
+    use = F.col("delta").isNotNull() & (saved < F.col("chunk_size")) & (F.col("chunk_size") >= least * saved)
     payload = F.when(use, F.col("delta")).otherwise(F.col("local.payload"))
     kind = F.when(use, F.concat(F.lit("delta_"), "by")).when(F.col("local.codec") == "raw", "base_raw").otherwise("base_lz")
     return coded.select(
@@ -154,6 +192,19 @@ def reduce(
     )
 
 
+def _with_running_ratio(coded: DataFrame) -> DataFrame:
+    """``coded`` with ``least``: bytes of the chunks without a match that come before, by their bytes after compression."""
+    is_base = F.col("delta").isNull()
+    sizes = coded.select(
+        "chunk_id", F.when(is_base, F.col("chunk_size")).otherwise(0).alias("own_in"),
+        F.when(is_base, F.octet_length("local.payload")).otherwise(0).cast("long").alias("own_out"),
+    )
+    through = running_totals(sizes, "chunk_id", {"all_in": "own_in", "all_out": "own_out"})
+    before_in, before_out = F.col("all_in") - F.col("own_in"), F.col("all_out") - F.col("own_out")
+    least = F.when(before_out > 0, before_in / before_out).otherwise(BASE_RATIO).alias("least")
+    return coded.join(through.select("chunk_id", least), "chunk_id")
+
+
 def _hybrid(index: DataFrame, by_feature: DataFrame, accept) -> DataFrame:
     """Name matches first; rejected ones and chunks without go by features.
 

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.storage import save
 from . import codec
+from .asof import running_totals_by
 
 CONTAINER = 4 << 20
 
@@ -84,24 +84,72 @@ def next_fit(df: DataFrame, order: str, size: str, capacity: int = CONTAINER) ->
 
 
 def write_containers(stored: DataFrame, path: str, capacity: int = CONTAINER) -> None:
-    """Payloads by container: what ``read_chunks`` looks up."""
+    """Payloads by container: what ``read_containers`` looks up."""
     places = next_fit(stored.select("chunk_id", "save_size"), "chunk_id", "save_size", capacity)
     stored.join(places.drop("save_size"), "chunk_id").write.mode("overwrite").parquet(path)
 
 
+def read_containers(spark: SparkSession, path: str, chunk_ids: DataFrame | None = None) -> DataFrame:
+    """Stored chunks from the container files; with ``chunk_ids`` only those and the bases they need."""
+    stored = spark.read.parquet(path)
+    if chunk_ids is None:
+        return stored
+    asked = stored.join(chunk_ids.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    needed = asked.select(F.coalesce("base_chunk_id", "chunk_id").alias("chunk_id")).unionAll(asked.select("chunk_id")).distinct()
+    return stored.join(needed, "chunk_id", "left_semi")
+
+
 def read_chunks(stored: DataFrame) -> DataFrame:
     """(chunk_id, chunk): every stored chunk decoded, deltas against their base."""
     bases = stored.where("base_chunk_id is null")
-    plain = bases.select("chunk_id", codec.decode("codec", "payload", F.lit(None).cast("binary")).alias("chunk"))
+    plain = bases.select("chunk_id", codec.decode("codec", "payload", "chunk_size", F.lit(None).cast("binary")).alias("chunk"))
     base = plain.select(F.col("chunk_id").alias("base_chunk_id"), F.col("chunk").alias("base"))
     deltas = stored.where("base_chunk_id is not null").join(base, "base_chunk_id")
-    return plain.unionByName(deltas.select("chunk_id", codec.decode("codec", "payload", "base").alias("chunk")))
+    return plain.unionByName(deltas.select("chunk_id", codec.decode("codec", "payload", "chunk_size", "base").alias("chunk")))
+
+
+def joined(pieces: Column) -> Column:
+    """Binaries of an array, one after the other, in time proportional to their bytes."""
+
+    @F.pandas_udf("binary")
+    def run(parts: pd.Series) -> pd.Series:
+        return parts.map(lambda x: b"".join(x))
+
+    return run(pieces)
+
+
+def _in_order(parts: DataFrame, *keys: str) -> DataFrame:
+    """(keys, content): the chunks of each key by seq."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("seq", "chunk"))), lambda x: x["chunk"])
+    return parts.groupBy(*keys).agg(ordered.alias("parts")).select(*keys, joined("parts").alias("content"))
 
 
-def restore(recipes: DataFrame, stored: DataFrame) -> DataFrame:
-    """(version, content): each version's chunks in order."""
-    parts = recipes.join(read_chunks(stored), "chunk_id")
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "chunk")))
-    whole = parts.groupBy("version").agg(ordered.alias("parts"))
-    empty = F.lit(b"")
-    return whole.select("version", F.aggregate("parts", empty, lambda a, p: F.concat(a, p["chunk"])).alias("content"))
+def whole(chunks: DataFrame, versions: DataFrame | None = None) -> DataFrame:
+    """(version, content) of rows (version, seq, chunk); ``versions`` without chunks are empty."""
+    found = _in_order(chunks, "version")
+    if versions is None:
+        return found
+    found = versions.select("version").distinct().join(found, "version", "left")
+    return found.select("version", F.coalesce("content", F.lit(b"")).alias("content"))
+
+
+def restore(recipes: DataFrame, stored: DataFrame, versions: DataFrame | None = None) -> DataFrame:
+    """(version, content): each version's chunks in order; ``versions`` names those that may be empty."""
+    return whole(recipes.join(read_chunks(stored), "chunk_id"), versions)
+
+
+#: Bytes of a piece of a restored version.
+PIECE = 64 << 20
+
+
+def restore_pieces(recipes: DataFrame, stored: DataFrame, piece: int = PIECE) -> DataFrame:
+    """(version, piece, content): versions of any size in pieces of about ``piece`` bytes, each a row of its own.
+
+    A chunk belongs to the piece in which it begins. Places are running sums over ids
+    and sizes only; no task holds a whole version.
+    """
+    sized = recipes.join(stored.select("chunk_id", "chunk_size"), "chunk_id")
+    placed = running_totals_by(sized, ["version"], "seq", "chunk_size", "_through")
+    number = F.floor((F.col("_through") - F.col("chunk_size")) / piece).cast("long")
+    parts = placed.select("version", number.alias("piece"), "seq", "chunk_id").join(read_chunks(stored), "chunk_id")
+    return _in_order(parts, "version", "piece")

@@ -182,21 +182,26 @@ def restore_archives(chunks: DataFrame) -> DataFrame:
     return grouped.select("version", run("pieces").alias("content"))
 
 
-def pack_archives(df: DataFrame, name: str, content: str) -> DataFrame:
-    """(version, content): a one-member archive of each row, for tests and demonstrations."""
+def pack_archives(df: DataFrame, name: str, content: str, order: str | None = None) -> DataFrame:
+    """(version, content): an archive of each row, or, with ``order``, of all rows of a version in that order; for demonstrations."""
     import io
     import tarfile
 
     @F.pandas_udf("binary")
-    def run(names: pd.Series, contents: pd.Series) -> pd.Series:
+    def run(members: pd.Series) -> pd.Series:
         out = []
-        for n, c in zip(names, contents):
+        for rows in members:
             buffer = io.BytesIO()
             with tarfile.open(fileobj=buffer, mode="w", format=tarfile.GNU_FORMAT) as tar:
-                info = tarfile.TarInfo(n)
-                info.size = len(c)
-                tar.addfile(info, io.BytesIO(bytes(c)))
+                for row in rows:
+                    info = tarfile.TarInfo(row["name"])
+                    info.size = len(row["body"])
+                    tar.addfile(info, io.BytesIO(bytes(row["body"])))
             out.append(buffer.getvalue())
         return pd.Series(out)
 
-    return df.select("version", run(F.col(name), F.col(content)).alias("content"))
+    member = F.struct(*([F.col(order).alias("place")] if order else []), F.col(name).alias("name"), F.col(content).alias("body"))
+    if order is None:
+        return df.select("version", run(F.array(member)).alias("content"))
+    members = df.groupBy("version").agg(F.array_sort(F.collect_list(member)).alias("members"))
+    return members.select("version", run("members").alias("content"))

@@ -18,6 +18,13 @@ FP_ENTRY, SF_ENTRY, HYBRID_SF_ENTRY = 120, 120, 160
 UNIQUE_ENTRY, BASE_ENTRY, NAME_ENTRY = 40 + 64 + 8, 48, 12
 
 
+#: The columns of ``counts``.
+COUNTS = (
+    "logical_chunks", "unique_chunks", "base_chunks", "delta_chunks", "logical_bytes", "stored_bytes", "base_bytes", "delta_bytes", "ocr",
+    "ocr_with_recipe", "dcc", "dcr", "dce", "dce2", "base_ratio",
+)
+
+
 def _conditions() -> tuple[Column, Column, Column]:
     """Whether a row is the first of its chunk, a base's, a delta's."""
     kind = F.col("store_kind")
@@ -134,3 +141,13 @@ def tidy(figures: DataFrame) -> DataFrame:
     """One row of figures as (metric, value)."""
     pairs = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in figures.columns])
     return figures.select(F.inline(pairs))
+
+
+def throughput(runs: DataFrame, keys: list[str], size: str, seconds: str) -> DataFrame:
+    """MiB a second of each group, and of all its runs together: bytes, seconds, their quotient and the mean of the runs' own."""
+    mib = F.col(size) / F.lit(1 << 20)
+    per_run = F.try_divide(mib, F.col(seconds))
+    return runs.groupBy(*keys).agg(
+        F.count("*").alias("runs"), F.sum(size).alias("bytes"), F.round(F.sum(seconds), 6).alias("seconds"),
+        F.round(F.try_divide(F.sum(mib), F.sum(seconds)), 4).alias("mib_s"), F.round(F.avg(per_run), 4).alias("mean_mib_s"),
+    )

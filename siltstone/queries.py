@@ -2,34 +2,20 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import feature_queries  # noqa: F401
 from .functions import names
-from .functions.rolling import windows
-from .operators import asof, chunking, features, fingerprint, methods, similarity, store, tar
+from .operators import chunking, fingerprint, methods, similarity, store, tar
 from .plans import analysis, metrics
-from .plans.storage import save
+from .plans.storage import save, shared_dir
+from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401
+from .registry import table as _table
 from .streaming import ingest
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
 
 
 # ---------------------------------------------------------------- chunks and fingerprints
@@ -124,18 +110,21 @@ def new_vs_known(spark, d):
     return total(new, "new").unionAll(total(known, "known"))
 
 
-@query("SELECT doc_id AS version, sha256(encode(coalesce(text, ''))) AS sha, octet_length(encode(coalesce(text, '')))::BIGINT AS n_bytes FROM documents WHERE octet_length(encode(coalesce(text, ''))) > 0")
+@query("SELECT doc_id AS version, sha256(encode(coalesce(text, ''))) AS sha, octet_length(encode(coalesce(text, '')))::BIGINT AS n_bytes FROM documents")
 def restore_sha(spark, d):
     """Versions rebuilt from recipe and containers of the plain dedup method."""
-    return _restored(spark, _chunks(spark, d), "dedup")
+    return _restored(spark, d, _chunks(spark, d), "dedup")
 
 
-def _restored(spark, chunks, method: str, **options) -> DataFrame:
+def _restored(spark, d, chunks, method: str, **options) -> DataFrame:
     chunks = save(spark, chunks, "chunks")
     index = fingerprint.chunk_index(chunks, "chunk", *(["name_hash"] if method == "hybrid" else []))
     index = save(spark, index, "chunk-index")
     stored = save(spark, methods.reduce(index, method, **options), "stored")
-    whole = store.restore(fingerprint.recipes(chunks, index), stored)
+    return _digest(store.restore(fingerprint.recipes(chunks, index), stored, _content(spark, d)))
+
+
+def _digest(whole: DataFrame) -> DataFrame:
     return whole.select("version", F.sha2("content", 256).alias("sha"), F.octet_length("content").cast("long").alias("n_bytes"))
 
 
@@ -147,32 +136,30 @@ def _cdc(spark, d, how: str = "fastcdc", **sizes):
     return fingerprint.with_fingerprint(chunking.chunk(_content(spark, d), "content", how, **(sizes or _SIZES)))
 
 
-def _roundtrip(chunks):
-    parts = F.array_sort(F.collect_list(F.struct("seq", "chunk")))
-    whole = F.aggregate(parts, F.lit(b""), lambda a, p: F.concat(a, p["chunk"]))
-    return chunks.groupBy("version").agg(F.sha2(whole, 256).alias("sha"), F.sum("chunk_size").alias("n_bytes"))
+def _roundtrip(spark, d, chunks):
+    return _digest(store.whole(chunks, _content(spark, d)))
 
 
 @query(_SHA)
 def fastcdc_roundtrip(spark, d):
-    return _roundtrip(_cdc(spark, d))
+    return _roundtrip(spark, d, _cdc(spark, d))
 
 
 @query(_SHA)
 def fastcdc_loose_roundtrip(spark, d):
     """One mask at all sizes."""
-    return _roundtrip(_cdc(spark, d, **_SIZES, normalized=False))
+    return _roundtrip(spark, d, _cdc(spark, d, **_SIZES, normalized=False))
 
 
 @query(_SHA)
 def gearcdc_roundtrip(spark, d):
-    return _roundtrip(_cdc(spark, d, "gear", mask_bits=10))
+    return _roundtrip(spark, d, _cdc(spark, d, "gear", mask_bits=10))
 
 
 for _method in ("n_transform", "finesse", "odess", "palantir"):
 
     def _run(spark, d, method=_method):
-        return _restored(spark, _cdc(spark, d), method)
+        return _restored(spark, d, _cdc(spark, d), method)
 
     _run.__name__ = f"{_method}_restore_sha"
     query(_SHA)(_run)
@@ -181,35 +168,89 @@ for _method in ("n_transform", "finesse", "odess", "palantir"):
 @query(_SHA)
 def odess_first_seen_restore_sha(spark, d):
     """Every unique chunk registers its super-features: one pass, another set of bases."""
-    return _restored(spark, _cdc(spark, d), "odess", exact=False)
+    return _restored(spark, d, _cdc(spark, d), "odess", exact=False)
 
 
 @query(_SHA)
 def hybrid_restore_sha(spark, d):
     """Names here are source and place: a chunk's predecessor is what the source had there last."""
     chunks = _cdc(spark, d).withColumn("name_hash", F.xxhash64("source", "seq"))
-    return _restored(spark, chunks, "hybrid", accept=methods.fixed_filter(2))
+    return _restored(spark, d, chunks, "hybrid", accept=methods.fixed_filter(2))
 
 
 @query(_SHA)
 def locality_restore_sha(spark, d):
     chunks = save(spark, _cdc(spark, d), "chunks")
     index = save(spark, fingerprint.chunk_index(chunks, "chunk"), "chunk-index")
-    positions = similarity.position_match(_order_events(chunks, index))
-    positions = positions.groupBy("chunk_id").agg(F.min("guess").alias("guess"))
-    stored = save(spark, methods.reduce(index, "locality", positions=positions), "stored")
-    whole = store.restore(fingerprint.recipes(chunks, index), stored)
-    return whole.select("version", F.sha2("content", 256).alias("sha"), F.octet_length("content").cast("long").alias("n_bytes"))
+    stored = save(spark, methods.reduce(index, "locality", positions=_positions(chunks, index)), "stored")
+    return _digest(store.restore(fingerprint.recipes(chunks, index), stored, _content(spark, d)))
 
 
-@query()
-def method_report(spark, d):
-    """Stored bytes of the resemblance methods on the same chunks."""
+def _positions(chunks, index):
+    return similarity.position_match(_order_events(chunks, index)).groupBy("chunk_id").agg(F.min("guess").alias("guess"))
+
+
+@query(_SHA)
+def deflate_restore_sha(spark, d):
+    """The other local codec."""
+    return _restored(spark, d, _chunks(spark, d), "dedup", local="deflate")
+
+
+@query(_SHA)
+def pieces_restore_sha(spark, d):
+    """Versions rebuilt in pieces of 4 KiB or a chunk more, as those beyond a cell's size are, and put together here."""
+    chunks = save(spark, _chunks(spark, d), "chunks")
+    index = save(spark, fingerprint.chunk_index(chunks, "chunk"), "chunk-index")
+    stored = save(spark, methods.reduce(index, "dedup"), "stored")
+    pieces = store.restore_pieces(fingerprint.recipes(chunks, index), stored, 4096)
+    return _digest(store.whole(pieces.select("version", F.col("piece").alias("seq"), F.col("content").alias("chunk")), _content(spark, d)))
+
+
+@query(_SHA)
+def containers_restore_sha(spark, d):
+    """Versions rebuilt from container files, read as a restore reads them: what is asked for and its bases."""
     chunks = save(spark, _cdc(spark, d), "chunks")
     index = save(spark, fingerprint.chunk_index(chunks, "chunk"), "chunk-index")
+    path = f"{shared_dir(spark)}/containers-{uuid.uuid4().hex}"
+    store.write_containers(save(spark, methods.reduce(index, "odess"), "stored"), path, 65536)
+    recipes = fingerprint.recipes(chunks, index)
+    return _digest(store.restore(recipes, store.read_containers(spark, path, recipes), _content(spark, d)))
+
+
+@query(_F + """SELECT count(*) AS logical_chunks, count(*) FILTER (nth = 1) AS unique_chunks, count(*) FILTER (nth = 1) AS base_chunks, 0::BIGINT AS delta_chunks,
+ sum(chunk_size)::BIGINT AS logical_bytes, coalesce(sum(chunk_size) FILTER (nth > 1), 0)::BIGINT AS dedup_saved,
+ round(sum(chunk_size) / (sum(chunk_size) FILTER (nth = 1)), 6) AS dedup_ratio FROM u""")
+def dedup_run_counts(spark, d):
+    """The figures of a run that do not depend on a codec, from the stored chunks and the recipe of the plain dedup method."""
+    events = _run_events(spark, _chunks(spark, d), "dedup")
+    counted = metrics.counts(events).select("logical_chunks", "unique_chunks", "base_chunks", "delta_chunks", "logical_bytes")
+    return counted.crossJoin(metrics.stages(events).select("dedup_saved", "dedup_ratio"))
+
+
+@query(_F + """SELECT version, count(*) AS chunks, sum(chunk_size)::BIGINT AS logical_bytes, (sum(sum(chunk_size)) OVER (ORDER BY version))::BIGINT AS total_logical FROM u GROUP BY version""")
+def odess_run_versions(spark, d):
+    """Each version of a run with deltas, from what the method stored."""
+    return metrics.per_version(_run_events(spark, _chunks(spark, d), "odess")).select("version", "chunks", "logical_bytes", "total_logical")
+
+
+def _run_events(spark, chunks, method: str):
+    """The chunk log of a run: every logical chunk with how its unique chunk was stored."""
+    chunks = save(spark, chunks, "chunks")
+    index = save(spark, fingerprint.chunk_index(chunks, "chunk"), "chunk-index")
+    stored = save(spark, methods.reduce(index, method), "stored")
+    order = _order_events(chunks, index).select("version", "seq", "chunk_id", F.col("is_new").alias("is_first"))
+    return order.join(stored.select("chunk_id", "store_kind", "chunk_size", "save_size"), "chunk_id").withColumn("kind", F.lit("file"))
+
+
+@query()
+def method_report(spark, d):
+    """Stored chunks and bytes of all seven methods on the same chunks."""
+    chunks = save(spark, _cdc(spark, d).withColumn("name_hash", F.xxhash64("source", "seq")), "chunks")
+    index = save(spark, fingerprint.chunk_index(chunks, "chunk", "name_hash"), "chunk-index")
     out = None
-    for method in ("dedup", "n_transform", "finesse", "odess", "palantir"):
-        stored = methods.reduce(index, method)
+    for method in methods.METHODS:
+        options = {"positions": _positions(chunks, index)} if method == "locality" else {}
+        stored = methods.reduce(index, method, **options)
         part = stored.groupBy("store_kind").agg(F.count("*").alias("n"), F.sum("chunk_size").alias("original"), F.sum("save_size").alias("stored"))
         part = part.select(F.lit(method).alias("method"), "*")
         out = part if out is None else out.unionAll(part)
@@ -225,11 +266,10 @@ def container_packing(spark, d):
     return store.next_fit(sizes, "chunk_id", "save_size", 65536)
 
 
-@query(_F + "SELECT count(*) AS n, sum(chunk_size)::BIGINT AS bytes FROM x")
+@query(_F + "SELECT fp, chunk_size FROM x")
 def stream_unique_chunks(spark, d):
-    """Streaming ingest of all documents: unique chunks in the sink."""
-    found = ingest.drain(ingest.unique_chunks(ingest.read_documents(spark, d), SIZE), "unique-chunks")
-    return found.agg(F.count("*").alias("n"), F.sum("chunk_size").alias("bytes"))
+    """Streaming ingest of all documents: the unique chunks in the sink."""
+    return ingest.drain(ingest.unique_chunks(ingest.read_documents(spark, d), SIZE), "unique-chunks")
 
 
 # ---------------------------------------------------------------- positions and names
@@ -282,13 +322,28 @@ def dir_key(spark, d):
     return _pages(spark, d).select("page_id", "path", names.directory_key(F.col("path")).alias("dir_key"))
 
 
-@query(f"""WITH p AS (SELECT page_id, {_PATH} AS path FROM pages)
- SELECT page_id, path, array_to_string(list_transform(regexp_extract_all(upper(path), '(\\d+|\\D+)', 1),
-  lambda x: CASE WHEN regexp_matches(x, '^\\d') THEN lpad(x, 20, '0') ELSE x END), '') AS key FROM p ORDER BY key, page_id LIMIT 40""")
+@query(f"""WITH p AS (SELECT page_id, {_PATH} AS path FROM pages), k AS (SELECT page_id, path, array_to_string(list_transform(regexp_extract_all(upper(path), '([0-9]+|[^0-9]+)', 1),
+  lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN lpad(length(regexp_replace(x, '^0+([0-9])', '\\1'))::VARCHAR, 4, '0') || regexp_replace(x, '^0+([0-9])', '\\1') ELSE x END), '') AS key FROM p)
+ SELECT page_id, path, key, row_number() OVER (ORDER BY key, page_id) - 1 AS position FROM k""")
 def natural_order(spark, d):
-    """The first forty members in natural order."""
+    """All members with their place in natural order."""
     keyed = _pages(spark, d).withColumn("key", names.natural_key(F.col("path")))
-    return keyed.orderBy("key", "page_id").limit(40).select("page_id", "path", "key")
+    return fingerprint.with_order_number(keyed, "key", "page_id", name="position").select("page_id", "path", "key", "position")
+
+
+_LONG_HASH = """list_reduce(list_prepend(0::HUGEINT, list_transform(string_split(name, ''), lambda c: ord(c)::HUGEINT)), lambda h, c: (h * 1099511628211 + c) % 18446744073709551616)"""
+
+
+@query(f"""WITH n AS (SELECT page_id, regexp_replace(repeat({_PATH} || '/', 8), '^[^/]*/', '') AS name FROM pages), h AS (SELECT page_id, length(name) AS n, {_LONG_HASH} AS v FROM n),
+ r AS (SELECT *, (v + 18446744073709551615) % 18446744073709551616 AS u FROM h)
+ SELECT page_id, n::BIGINT AS n, lpad(printf('%x', (u >> 32)::BIGINT), 8, '0') || lpad(printf('%x', (u & 4294967295)::BIGINT), 8, '0') AS record_hash,
+  lpad(printf('%x', (v >> 32)::BIGINT), 8, '0') || lpad(printf('%x', (v & 4294967295)::BIGINT), 8, '0') AS member_hash FROM r""")
+def long_name_hash(spark, d):
+    """Names of several hundred characters in a record of their own: the record's hash and the member's."""
+    record = F.rpad(F.repeat(F.concat("path", F.lit("/")), 8), 1024, "\0")
+    named = _pages(spark, d).select("page_id", names.long_name(F.encode(record, "UTF-8")).alias("name"))
+    record_hash, member_hash = names.long_name_hashes(F.col("name"))
+    return named.select("page_id", F.length("name").cast("long").alias("n"), record_hash.alias("record_hash"), member_hash.alias("member_hash"))
 
 
 @query(f"""WITH p AS (SELECT page_id, regexp_extract({_PATH}, '^[^/]*', 0) AS host FROM pages)
@@ -301,132 +356,14 @@ def name_base_asof(spark, d):
     return similarity.name_match(pages)
 
 
-# ---------------------------------------------------------------- super-features (of words, so that SQL can follow)
-
-
-def _word_features(spark, d):
-    """Twelve features of each document: the greatest hash of its words under twelve hash functions."""
-    words = F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), "[ \n]+"))
-    rows = _table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.explode(words).alias("w")).where("w != ''")
-    tops = [F.max(F.md5(F.concat(F.col("w"), F.lit(f"#{j}")))).alias(f"f{j}") for j in range(features.COUNT)]
-    return rows.groupBy("chunk_id").agg(*tops)
-
-
-def _word_sfs(spark, d):
-    found = _word_features(spark, d)
-    each = []
-    for tier, groups, size in features.TIERS:
-        for i in range(groups):
-            parts = F.concat_ws(",", *[f"f{i * size + k}" for k in range(size)])
-            each.append(F.struct(F.lit(tier).alias("tier"), F.lit(i).alias("sf_pos"), F.md5(parts).alias("sf")))
-    rows = found.select("chunk_id", F.floor(F.col("chunk_id") / 50).alias("version"), F.inline(F.array(*each)))
-    return save(spark, rows, "word-sfs")
-
-
-def _sf_sql() -> str:
-    tops = ", ".join(f"max(md5(w || '#{j}')) AS f{j}" for j in range(12))
-    parts = []
-    for tier, groups, size in features.TIERS:
-        for i in range(groups):
-            joined = " || ',' || ".join(f"f{i * size + k}" for k in range(size))
-            parts.append(f"SELECT chunk_id, chunk_id // 50 AS version, {tier} AS tier, {i} AS sf_pos, md5({joined}) AS sf FROM ft")
-    return f"""WITH wd AS (SELECT DISTINCT doc_id AS chunk_id, unnest(regexp_split_to_array(lower(coalesce(text, '')), '[ \\n]+')) AS w FROM documents),
- ft AS (SELECT chunk_id, {tops} FROM wd WHERE w <> '' GROUP BY chunk_id), sf AS ({" UNION ALL ".join(parts)}) """
-
-
-_SF = _sf_sql()
-
-
-@query(_SF + "SELECT chunk_id, version, tier, sf_pos, sf FROM sf")
-def sf_tiers(spark, d):
-    return _word_sfs(spark, d)
-
-
-@query(_SF + "SELECT sf, count(DISTINCT chunk_id) AS n_chunks FROM sf WHERE tier = 1 GROUP BY sf HAVING count(DISTINCT chunk_id) > 1")
-def similar_record_count(spark, d):
-    return similarity.similar_counts(_word_sfs(spark, d).where("tier = 1"))
-
-
-@query(_SF + "SELECT DISTINCT chunk_id FROM sf WHERE tier = 1 AND sf IN (SELECT sf FROM sf WHERE tier = 1 GROUP BY sf HAVING count(DISTINCT chunk_id) > 1)")
-def similar_chunks(spark, d):
-    return similarity.similar_chunks(_word_sfs(spark, d).where("tier = 1"))
-
-
-@query(_SF + """SELECT chunk_id, base_id FROM (SELECT chunk_id, o AS base_id, row_number() OVER (PARTITION BY chunk_id ORDER BY sf_pos) AS r FROM
- (SELECT chunk_id, sf_pos, min(chunk_id) OVER (PARTITION BY sf) AS o FROM sf WHERE tier = 1) WHERE o < chunk_id) WHERE r = 1""")
-def oldest_lookup(spark, d):
-    return similarity.oldest_match(_word_sfs(spark, d).where("tier = 1"))
-
-
-_NEWEST = """SELECT chunk_id, base_id FROM (SELECT chunk_id, o AS base_id, row_number() OVER (PARTITION BY chunk_id ORDER BY sf_pos) AS r FROM
- (SELECT chunk_id, sf_pos, lag(chunk_id) OVER (PARTITION BY sf_pos, sf ORDER BY chunk_id) AS o FROM sf WHERE tier = 1) WHERE o IS NOT NULL) WHERE r = 1"""
-
-
-@query(_SF + _NEWEST)
-def newest_lookup(spark, d):
-    return similarity.newest_match(_word_sfs(spark, d).where("tier = 1"))
-
-
-def _tier_sql(condition: str) -> str:
-    return _SF + f"""SELECT chunk_id, tier, base_id FROM (SELECT chunk_id, tier, o AS base_id, row_number() OVER (PARTITION BY chunk_id ORDER BY tier, sf_pos, o) AS r FROM
- (SELECT *, lag(chunk_id) OVER w AS o, lag(version) OVER w AS ov FROM (SELECT DISTINCT chunk_id, version, tier, min(sf_pos) AS sf_pos, sf FROM sf GROUP BY ALL)
-  WINDOW w AS (PARTITION BY tier, sf ORDER BY chunk_id)) WHERE o IS NOT NULL {condition}) WHERE r = 1"""
-
-
-@query(_tier_sql(""))
-def tiered_lookup(spark, d):
-    return similarity.tiered_match(_word_sfs(spark, d))
-
-
-@query(_tier_sql("AND (tier = 1 OR tier = 2 AND version - ov <= 5 OR tier = 3 AND version - ov <= 2)"))
-def aged_lookup(spark, d):
-    return similarity.tiered_match(_word_sfs(spark, d), similarity.AGES)
-
-
-@query(_SF + """, fx AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS chunk_id FROM documents),
- oc AS (SELECT DISTINCT fx.doc_id AS ord, fx.chunk_id, sf.version, tier, min(sf_pos) AS sf_pos, sf FROM sf JOIN fx ON sf.chunk_id = fx.doc_id GROUP BY ALL)
- SELECT chunk_id, tier, base_id FROM (SELECT chunk_id, tier, o AS base_id, row_number() OVER (PARTITION BY chunk_id ORDER BY tier, sf_pos, o) AS r FROM
- (SELECT *, lag(chunk_id) OVER w AS o, lag(version) OVER w AS ov FROM oc WINDOW w AS (PARTITION BY tier, sf ORDER BY ord))
- WHERE o IS NOT NULL AND ord = chunk_id AND (tier = 1 OR tier = 2 AND version - ov <= 5 OR tier = 3 AND version - ov <= 2)) WHERE r = 1""")
-def refreshed_lookup(spark, d):
-    """Aged lookup where a duplicate refreshes the super-features of what it repeats."""
-    docs = _table(spark, d, "documents").select(F.col("doc_id").alias("ord"), F.sha2(chunking.utf8("text"), 256).alias("fp"))
-    firsts = docs.groupBy("fp").agg(F.min("ord").alias("chunk_id"))
-    owners = docs.join(firsts, "fp").select("ord", "chunk_id")
-    sfs = _word_sfs(spark, d).withColumnRenamed("chunk_id", "ord").join(owners, "ord")
-    return similarity.tiered_match(sfs, similarity.AGES, "ord", F.col("ord") == F.col("chunk_id"))
-
-
-_NAMES = """nm AS (SELECT doc_id AS chunk_id, lag(doc_id) OVER (PARTITION BY source, lang, n_chars // 100 ORDER BY doc_id) AS base_id FROM documents)"""
-
-
-@query(_SF + f""", {_NAMES}, fm AS ({_NEWEST}), n2 AS (SELECT * FROM nm WHERE base_id IS NOT NULL)
- SELECT CASE WHEN n2.base_id IS NULL THEN 'only_feature' WHEN fm.base_id IS NULL THEN 'only_name' WHEN n2.base_id = fm.base_id THEN 'same' ELSE 'different' END AS "case",
- count(*) AS n FROM fm FULL JOIN n2 ON fm.chunk_id = n2.chunk_id GROUP BY 1""")
-def motivation_cases(spark, d):
-    docs = _table(spark, d, "documents").select(
-        F.col("doc_id").alias("chunk_id"), F.lit(1).alias("version"),
-        F.concat_ws("/", "source", "lang", F.floor(F.col("n_chars") / 100).cast("string")).alias("name_hash"),
-    )
-    return similarity.motivation_cases(similarity.newest_match(_word_sfs(spark, d).where("tier = 1")), similarity.name_match(docs))
-
-
-@query(f"""WITH {_NAMES} SELECT a.chunk_id, coalesce(b.base_id, a.base_id) AS base_id FROM nm a LEFT JOIN nm b ON a.base_id = b.chunk_id WHERE a.base_id IS NOT NULL""")
-def resolved_bases(spark, d):
-    """A match that matched something itself is replaced by that."""
-    docs = _table(spark, d, "documents").select(
-        F.col("doc_id").alias("chunk_id"), F.concat_ws("/", "source", "lang", F.floor(F.col("n_chars") / 100).cast("string")).alias("name")
-    )
-    found = asof.latest_before(docs, ["name"], "chunk_id", F.col("chunk_id"), "base_chunk_id")
-    matches = found.where("base_chunk_id is not null").select("chunk_id", F.col("base_chunk_id").alias("base_id"))
-    return similarity.resolved(matches, found)
-
-
-@query()
-def odess_features(spark, d):
-    """Twelve sampled features of every distinct text, as super-features."""
-    docs = _content(spark, d).select(F.col("version").alias("chunk_id"), F.col("content").alias("chunk"))
-    return features.super_features(features.with_features(docs, "palantir", 4), "palantir")
+@query("""WITH n AS (SELECT conv_id AS key, max(turn) AS turn, count(*) AS n FROM conversations WHERE turn > 2 GROUP BY conv_id), o AS (SELECT conv_id AS key, min(turn) AS turn, count(*) AS n FROM conversations GROUP BY conv_id)
+ SELECT * FROM n WHERE key % 7 <> 0 UNION ALL SELECT * FROM o WHERE key NOT IN (SELECT key FROM n) AND key % 7 <> 0""")
+def feature_records(spark, d):
+    """A table of records in which newer ones take the place of older ones, and some are deleted."""
+    turns = _table(spark, d, "conversations").select(F.col("conv_id").alias("key"), "turn")
+    old = turns.groupBy("key").agg(F.min("turn").alias("turn"), F.count("*").alias("n"))
+    new = turns.where("turn > 2").groupBy("key").agg(F.max("turn").alias("turn"), F.count("*").alias("n"))
+    return similarity.delete_records(similarity.put_records(old, new), old.where("key % 7 = 0"))
 
 
 # ---------------------------------------------------------------- figures over a chunk log
@@ -501,9 +438,30 @@ def cumulative_ocr(spark, d):
     return metrics.per_version(_events(spark, d))
 
 
-@query(_E + """SELECT 'logical_bytes' AS metric, sum(chunk_size)::DOUBLE AS value FROM v UNION ALL SELECT 'unique_chunks', (count(*) FILTER (f))::DOUBLE FROM v""")
+@query(ORACLE_SQL["reduction_counts"].replace("SELECT count(*) AS logical_chunks", ", m AS (SELECT count(*) AS logical_chunks", 1) + """)
+ SELECT metric, value FROM (SELECT unnest(map_entries(MAP {""" + ", ".join(f"'{c}': {c}::DOUBLE" for c in metrics.COUNTS) + """})) AS e FROM m), LATERAL (SELECT e.key AS metric, e.value AS value)""")
 def tidy_metrics(spark, d):
-    return metrics.tidy(metrics.counts(_events(spark, d))).where(F.col("metric").isin("logical_bytes", "unique_chunks"))
+    """All figures of a log, one a row."""
+    return metrics.tidy(metrics.counts(_events(spark, d)))
+
+
+@query(_E + """, o AS (SELECT version, count(*) FILTER (b) AS bases, coalesce(sum(chunk_size) FILTER (b), 0) AS base_in, coalesce(sum(save_size) FILTER (b), 0) AS base_out,
+  count(*) FILTER (dl) AS deltas, coalesce(sum(chunk_size // save_size) FILTER (dl), 0) AS gains FROM v GROUP BY version),
+ r AS (SELECT version, sum(bases) OVER w AS bases, sum(base_in) OVER w AS base_in, sum(base_out) OVER w AS base_out, sum(deltas) OVER w AS deltas, sum(gains) OVER w AS gains
+  FROM o WINDOW w AS (ORDER BY version ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ l AS (SELECT beta, version, CASE WHEN bases > 0 AND deltas > 0 AND base_out > 0 THEN base_in::DOUBLE / base_out::DOUBLE + gains::DOUBLE / deltas::DOUBLE * floor(deltas::DOUBLE / bases::DOUBLE) * beta END AS least
+  FROM r CROSS JOIN (SELECT unnest([0.0, 0.01, 0.1, 0.5, 1.0])::DOUBLE AS beta))
+ SELECT beta, version, count(*) AS named, count(*) FILTER (least IS NULL OR chunk_size // save_size >= least) AS accepted FROM v JOIN l USING (version)
+ WHERE f AND store_kind = 'delta_name' GROUP BY beta, version""")
+def adaptive_filter_sweep(spark, d):
+    """Name deltas that the adaptive filter accepts, for several weights of the future loss."""
+    return methods.adaptive_sweep(_events(spark, d), analysis.sweep(spark, beta=[0.0, 0.01, 0.1, 0.5, 1.0]))
+
+
+@query(_E + """SELECT threshold, count(*) AS named, count(*) FILTER (chunk_size // save_size >= threshold) AS accepted FROM v CROSS JOIN (SELECT unnest(range(0, 21)) AS threshold)
+ WHERE f AND store_kind = 'delta_name' GROUP BY threshold""")
+def fixed_filter_sweep(spark, d):
+    return methods.fixed_sweep(_events(spark, d), analysis.sweep(spark, threshold=list(range(21))))
 
 
 @query(_E + """SELECT round(sum(chunk_size / save_size), 4) AS total, count(*) AS n, floor(avg(chunk_size / save_size) * 100) / 100 AS mean FROM v WHERE chunk_id % 5 NOT IN (0, 1)""")
@@ -547,6 +505,13 @@ def ci_normal(spark, d):
     return analysis.normal_interval(_log(spark, d), ["dataset", "depth"], "ms")
 
 
+@query(_O + """SELECT dataset, count(*) AS runs, sum(size)::BIGINT AS bytes, round(sum(ms / 1000.0), 6)::DOUBLE AS seconds, round((sum(size) / 1048576.0) / sum(ms / 1000.0), 4)::DOUBLE AS mib_s,
+ round(avg(size / 1048576.0 / (ms / 1000.0)), 4)::DOUBLE AS mean_mib_s FROM l GROUP BY dataset""")
+def restore_throughput(spark, d):
+    """MiB a second of all restores of a data set together, and the mean of the single ones."""
+    return metrics.throughput(_log(spark, d).withColumn("s", F.col("ms") / F.lit(1000.0)), ["dataset"], "size", "s")
+
+
 _V = "(n - 1)::DOUBLE"
 _T975 = f"(1.959963984540054 + 2.3722712338 / {_V} + 2.8224986167 / ({_V} * {_V}) + 2.5558497259 / ({_V} * {_V} * {_V}) + 1.589534 / ({_V} * {_V} * {_V} * {_V}))"
 _STUDENT = _O + f""", g AS (SELECT dataset, depth, count(*) AS n, avg(ms) AS m, stddev_samp(ms) AS sd FROM l GROUP BY ALL),
@@ -644,44 +609,81 @@ def migrated_restore(spark, d):
     return _equal(archives, moved.select("version", tar.rewritten(tar.restore_migrated, "content").alias("content")))
 
 
+#: Documents of a multi-member archive.
+MEMBERS = 40
+
+
+def _big_archives(spark, d):
+    """Archives of forty documents each, one member a document."""
+    name = F.concat(F.lit("v/"), F.col("version").cast("string"), F.lit(".txt"))
+    grouped = _content(spark, d).select(F.floor(F.col("version") / MEMBERS).alias("version"), F.col("version").alias("place"), name.alias("name"), "content")
+    return save(spark, tar.pack_archives(grouped, "name", "content", "place"), "archives")
+
+
+_MEMBERS_SQL = f"""WITH m AS (SELECT doc_id // {MEMBERS} AS version, doc_id, encode(coalesce(text, '')) AS body, row_number() OVER (PARTITION BY doc_id // {MEMBERS} ORDER BY doc_id) - 1 AS k FROM documents),
+ p AS (SELECT *, octet_length(body)::BIGINT AS n, ((octet_length(body) + 511) // 512 * 512)::BIGINT AS padded FROM m),
+ e AS (SELECT version, count(*) AS members, (sum(512 + padded) + 1024 + 10239) // 10240 * 10240 - sum(512 + padded) AS tail FROM p GROUP BY version) """
+
+
+@query(_MEMBERS_SQL + """, c AS (SELECT version, k, 0 AS o, 'header' AS kind, 512::BIGINT AS chunk_size FROM p UNION ALL SELECT version, k, 1, 'file', padded FROM p WHERE n > 0
+  UNION ALL SELECT version, members, 2, 'tail', tail FROM e)
+ SELECT version, row_number() OVER (PARTITION BY version ORDER BY k, o) - 1 AS seq, kind, chunk_size::BIGINT AS chunk_size FROM c""")
+def archive_member_chunks(spark, d):
+    """Archives of many members cut into headers and payloads."""
+    return chunking.chunk(_big_archives(spark, d), "content", "tar").select("version", "seq", "kind", "chunk_size")
+
+
+@query(_MEMBERS_SQL + """, c AS (SELECT version, k // 16 AS g, k, 'file' AS kind, padded AS chunk_size FROM p WHERE n > 0
+  UNION ALL SELECT version, k // 16, 1000000, 'header', 512 * count(*) FROM p GROUP BY ALL UNION ALL SELECT version, 1000000, 0, 'tail', tail FROM e)
+ SELECT version, row_number() OVER (PARTITION BY version ORDER BY g, k) - 1 AS seq, kind, chunk_size::BIGINT AS chunk_size FROM c""")
+def archive_grouped_headers(spark, d):
+    """The same with up to sixteen headers in a chunk behind the payloads they describe."""
+    return chunking.chunk(_big_archives(spark, d), "content", "tar_headers").select("version", "seq", "kind", "chunk_size")
+
+
+@query(_MEMBERS_SQL + """SELECT version, 8 + sum(padded)::BIGINT + 512 * any_value(members) + any_value(tail)::BIGINT AS n_bytes, sum(padded)::BIGINT AS payload_bytes,
+ sha256(unhex(string_agg(hex(body) || repeat('00', (padded - n)::BIGINT), '' ORDER BY k))) AS payload_sha FROM p JOIN e USING (version) GROUP BY version""")
+def migrated_payload(spark, d):
+    """Archives rewritten with all payloads in front: their length, and what the payloads are."""
+    moved = _big_archives(spark, d).select("version", tar.rewritten(tar.migrate, "content").alias("c"))
+    n = _little_endian(F.substring("c", 1, 8))
+    payload = F.substring(F.col("c"), F.lit(9), n.cast("int"))
+    return moved.select("version", F.octet_length("c").cast("long").alias("n_bytes"), n.alias("payload_bytes"), F.sha2(payload, 256).alias("payload_sha"))
+
+
+def _little_endian(field):
+    digits = [F.substring(F.hex(field), 2 * k + 1, 2) for k in reversed(range(8))]
+    return F.conv(F.concat(*digits), 16, 10).cast("long")
+
+
+_WHOLE_ARCHIVES = f"SELECT DISTINCT doc_id // {MEMBERS} AS version, 1::BIGINT AS same FROM documents"
+
+
+def _archives_restored(spark, d, how: str, **sizes):
+    """Archives cut by ``how``, stored with deltas, restored and compared."""
+    archives = _big_archives(spark, d)
+    chunks = save(spark, fingerprint.with_fingerprint(chunking.chunk(archives, "content", how, **sizes)), "chunks")
+    index = save(spark, fingerprint.chunk_index(chunks, "chunk"), "chunk-index")
+    stored = save(spark, methods.reduce(index, "odess"), "stored")
+    recipe = fingerprint.recipes(chunks, index)
+    if how in chunking.REWRITTEN:
+        whole = store.restore(recipe, stored)
+        return _equal(archives, whole.select("version", tar.rewritten(tar.restore_migrated, "content").alias("content")))
+    placed = chunks.select("version", "seq", "parts").join(recipe, ["version", "seq"]).join(store.read_chunks(stored), "chunk_id")
+    return _equal(archives, tar.restore_archives(placed))
+
+
+for _how, _options in (
+    ("tar", {}), ("tar_headers", {"headers": 16, "big": 4096, **_SIZES}), ("mtar", _SIZES), ("mtar_gear", {"mask_bits": 10}), ("mtar_fastcdc", _SIZES),
+):
+
+    def _run_archives(spark, d, how=_how, options=_options):
+        return _archives_restored(spark, d, how, **options)
+
+    query(_WHOLE_ARCHIVES, f"{_how}_delta_restore")(_run_archives)
+
+
 def _equal(a, b):
     other = b.select("version", F.sha2("content", 256).alias("sha"))
     same = a.select("version", F.sha2("content", 256).alias("own")).join(other, "version").where("own = sha")
     return same.groupBy("version").agg(F.count("*").alias("same"))
-
-
-
-# ---------------------------------------------------------------- sampled features in 32 bits, so that SQL can follow
-
-
-def _doubling_sql() -> str:
-    """The gear hash of every byte place, ``h = 2 h + g`` mod 2**32, by doubling the window five times."""
-    steps, last = [], "h0"
-    for k in (1, 2, 4, 8, 16):
-        steps.append(
-            f"h{k} AS (SELECT doc_id, i, (h + (coalesce(lag(h, {k}) OVER (PARTITION BY doc_id ORDER BY i), 0) << {k})) & 4294967295 AS h FROM {last})"
-        )
-        last = f"h{k}"
-    return ", ".join(steps)
-
-
-@query(f"""WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
- y AS (SELECT doc_id, q, length(x) // 2 AS n, substr(x, (2 * q + 1)::BIGINT, 512) AS piece FROM (SELECT *, unnest(range(0, (length(x) // 2)::BIGINT, 256)) AS q FROM b)),
- h0 AS (SELECT doc_id, q + i AS i, (('0x' || substr(piece, (2 * i + 1)::BIGINT, 2))::BIGINT * 2654435761 + 12345) & 4294967295 AS h
-        FROM (SELECT *, unnest(range(0, least(256, n - q)::BIGINT)) AS i FROM y)), {_doubling_sql()}
- SELECT doc_id, max(h) AS top, max((h * 40503 + 7) & 4294967295) AS mapped, count(*) AS samples FROM h16 WHERE h & 127 = 0 GROUP BY doc_id""")
-def sampled_features_32(spark, d):
-    """The greatest sampled gear hash of each text, as it is and under a linear map, and the samples' number."""
-    @F.pandas_udf("struct<top:long,mapped:long,samples:long>")
-    def run(content: pd.Series) -> pd.DataFrame:
-        out = []
-        for data in content:
-            gear = (np.frombuffer(bytes(data), np.uint8).astype(np.uint64) * np.uint64(2654435761) + np.uint64(12345)) & np.uint64(0xFFFFFFFF)
-            h = windows(np.concatenate((np.zeros(31, np.uint64), gear)), 2, 32) & np.uint64(0xFFFFFFFF)
-            h = h[h & np.uint64(127) == 0]
-            mapped = (h * np.uint64(40503) + np.uint64(7)) & np.uint64(0xFFFFFFFF)
-            out.append((int(h.max()), int(mapped.max()), len(h)) if len(h) else (None, None, 0))
-        return pd.DataFrame(out, columns=["top", "mapped", "samples"])
-
-    found = _content(spark, d).select(F.col("version").alias("doc_id"), run("content").alias("f"))
-    return found.select("doc_id", "f.*").where("samples > 0")

@@ -171,8 +171,16 @@ def test_codecs_invert():
     target = base[:2500] + b"changed" + base[2500:]
     delta = codec.delta_encode(target, base)
     assert codec.delta_decode(delta, base) == target and len(delta) < 200
-    assert codec.compress(noise, 1) == ("raw", noise)
-    assert codec.compress(b"a" * 1000, 1)[0] == "deflate"
+    for how in codec.LOCAL:
+        assert codec.compress(noise, how) == ("raw", noise) and codec.compress(b"", how) == ("raw", b"")
+        kind, payload = codec.compress(base, how)
+        assert kind == how and len(payload) < len(base) and codec.decompress(kind, payload, len(base)) == base
+    # A large chunk sees all of its base, whatever lies in front.
+    large = data(200_000, 5)
+    moved = large[150_000:] + large[:150_000]
+    assert len(codec.delta_encode(moved, large)) < 300 and codec.delta_decode(codec.delta_encode(moved, large), large) == moved
+    for small in (b"", b"x"):
+        assert codec.delta_decode(codec.delta_encode(noise, small), small) == noise and codec.delta_decode(codec.delta_encode(small, noise), noise) == small
 
 
 def version_rows():
@@ -198,8 +206,14 @@ def test_every_method_restores_and_keeps_depth_one(spark, method):
     assert all(r.base_chunk_id in bases and r.save_size < r.chunk_size for r in deltas)
     if method not in ("dedup",):
         assert deltas, method
-    whole = {r.version: bytes(r.content) for r in store.restore(fingerprint.recipes(chunks, index), stored).collect()}
-    assert whole == {v: c for v, c in rows if c}
+    recipe = fingerprint.recipes(chunks, index)
+    whole = {r.version: bytes(r.content) for r in store.restore(recipe, stored, content).collect()}
+    assert whole == dict(rows)
+    pieces = {}
+    for r in sorted(store.restore_pieces(recipe, stored, 5000).collect(), key=lambda r: r.piece):
+        pieces[r.version] = pieces.get(r.version, b"") + bytes(r.content)
+        assert len(r.content) < 5000 + 4096
+    assert pieces == {v: c for v, c in rows if c}
 
 
 def test_filters(spark):
@@ -207,8 +221,19 @@ def test_filters(spark):
     ask = lambda accept: [r[0] for r in df.select(accept(F.col("size"), F.col("saved"))).collect()]
     assert ask(methods.fixed_filter(1)) == [True, True, False]
     assert ask(methods.fixed_filter(3)) == [True, False, False]
-    assert ask(methods.adaptive_filter(2.0, None, 0, 5)) == [True, True, True]  # no delta yet
-    assert ask(methods.adaptive_filter(2.0, 0.5, 5, 2, 0.5)) == [True, False, False]  # 2 + 0.5 * (5 // 2) * 0.5 = 2.5
+    figures = [(100, 50, 10, 5, 2, 0.5), (100, 50, 10, 5, 2, 0.0), (0, 0, 0, 0, 0, 1.0), (100, 50, 0, 0, 3, 1.0)]
+    df = spark.createDataFrame(figures, "a long, b long, c long, d long, e long, beta double")
+    least = methods.adaptive_least(*(F.col(c) for c in ("a", "b", "c", "d", "e", "beta")))
+    assert [r[0] for r in df.select(least).collect()] == [4.0, 2.0, None, None]  # 2 + (10 / 5) * (5 // 2) * 0.5
+
+
+def test_running_ratio_of_bases(spark):
+    """A delta must beat what the bases before it have shrunk by."""
+    rows = [(0, 400, "aa", None), (1, 300, None, b"x" * 100), (2, 800, "bbbb", None), (3, 300, None, b"x" * 100)]
+    df = spark.createDataFrame(rows, "chunk_id long, chunk_size long, p string, delta binary")
+    coded = df.select("chunk_id", "chunk_size", "delta", F.struct(F.encode(F.repeat("p", 50), "UTF-8").alias("payload")).alias("local"))
+    got = {r.chunk_id: r.least for r in methods._with_running_ratio(coded).collect()}
+    assert got == {0: methods.BASE_RATIO, 1: 4.0, 2: 4.0, 3: 4.0}
 
 
 def sequential_next_fit(sizes, capacity):
