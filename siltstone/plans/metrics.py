@@ -151,3 +151,9 @@ def throughput(runs: DataFrame, keys: list[str], size: str, seconds: str) -> Dat
         F.count("*").alias("runs"), F.sum(size).alias("bytes"), F.round(F.sum(seconds), 6).alias("seconds"),
         F.round(F.try_divide(F.sum(mib), F.sum(seconds)), 4).alias("mib_s"), F.round(F.avg(per_run), 4).alias("mean_mib_s"),
     )
+
+
+def write_report(figures: DataFrame, path: str) -> None:
+    """Append a run's figures to a text report, a line for each: what ``analysis.metric_lines`` reads back."""
+    line = F.concat_ws(": ", "metric", F.expr("format_number(value, '0.######')"))
+    tidy(figures).where("value is not null").select(line.alias("line")).coalesce(1).write.mode("append").text(path)

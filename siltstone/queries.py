@@ -512,6 +512,16 @@ def restore_throughput(spark, d):
     return metrics.throughput(_log(spark, d).withColumn("s", F.col("ms") / F.lit(1000.0)), ["dataset"], "size", "s")
 
 
+@query(_O + """SELECT o_orderkey AS version, md5(o_orderkey::VARCHAR) AS commit_hash, size, ms / 1000 AS seconds, r100 / 100 AS mib_s FROM l""")
+def restore_log(spark, d):
+    """A restore log's rows: version, hash, bytes, seconds, MiB a second cut to two decimals."""
+    seconds = F.col("ms").cast("decimal(20,3)") / F.lit(1000)
+    return _log(spark, d).select(
+        F.col("o_orderkey").alias("version"), F.md5(F.col("o_orderkey").cast("string")).alias("commit_hash"), "size",
+        (F.col("ms") / F.lit(1000.0)).alias("seconds"), analysis.rate_mib(F.col("size"), seconds).cast("double").alias("mib_s"),
+    )
+
+
 _V = "(n - 1)::DOUBLE"
 _T975 = f"(1.959963984540054 + 2.3722712338 / {_V} + 2.8224986167 / ({_V} * {_V}) + 2.5558497259 / ({_V} * {_V} * {_V}) + 1.589534 / ({_V} * {_V} * {_V} * {_V}))"
 _STUDENT = _O + f""", g AS (SELECT dataset, depth, count(*) AS n, avg(ms) AS m, stddev_samp(ms) AS sd FROM l GROUP BY ALL),

@@ -92,6 +92,37 @@ def test_dumps(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "index"), header=True).count() == 3
 
 
+def test_versions_in_windows(spark, tmp_path):
+    """Files larger than a window: every byte once, chunks restore each version, empty files stay."""
+    from siltstone.operators import chunking, fingerprint, methods, store
+    from siltstone.sources import windows
+
+    bodies = {"v2.bin": bytes(range(256)) * 40, "v10.bin": b"x" * 5000 + bytes(range(256)) * 20, "v1.bin": b"", "sub/v3.bin": b"end"}
+    (tmp_path / "sub").mkdir()
+    for name, body in bodies.items():
+        (tmp_path / name).write_bytes(body)
+    found = windows.version_windows(spark, f"file://{tmp_path}", 4096).cache()
+    assert found.count() == 3 + 3 + 1 + 1 and max(len(r.content) for r in found.collect()) == 4096
+    order = ["sub/v3.bin", "v1.bin", "v2.bin", "v10.bin"]
+    chunks = chunking.chunk(found.drop("offset"), "content", "fastcdc", least=64, average=256, most=1024)
+    chunks = fingerprint.with_fingerprint(windows.in_order(chunks)).cache()
+    index = fingerprint.chunk_index(chunks, "chunk").cache()
+    whole = store.restore(fingerprint.recipes(chunks, index), methods.reduce(index, "odess"), found)
+    assert {r.version: bytes(r.content) for r in whole.collect()} == {k: bodies[name] for k, name in enumerate(order)}
+
+
+def test_report_lines(spark, tmp_path):
+    from siltstone.plans import analysis
+
+    figures = spark.createDataFrame([(10, 2.5, None)], "chunks long, ocr double, dcr double")
+    for _ in range(2):
+        metrics.write_report(figures, str(tmp_path / "report"))
+    lines = spark.read.text(str(tmp_path / "report"))
+    assert sorted(r[0] for r in lines.collect()) == ["chunks: 10", "chunks: 10", "ocr: 2.5", "ocr: 2.5"]
+    keyed = lines.selectExpr("1 AS k", "value AS line", "value AS o")
+    assert analysis.metric_lines(keyed, "line", r"^ocr: (.*)$", ["k"], "o").first().line == "2.5,2.5"
+
+
 def test_figures_of_no_events(spark):
     schema = "version long, chunk_id long, kind string, store_kind string, chunk_size long, save_size long, is_first boolean"
     row = metrics.counts(spark.createDataFrame([], schema)).first()
