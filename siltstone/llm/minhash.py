@@ -36,6 +36,8 @@ BANDS, ROWS = 40, 4
 WIDTH, PERCENT = 5, 75
 #: Most sets, and most shingles, in one block of a bucket.
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 1 << 20
+#: Tasks over which a bucket's members are dealt to learn their blocks.
+DEALS = 16
 
 
 def _scatter(x: np.ndarray) -> np.ndarray:
@@ -182,9 +184,13 @@ def links(
         F.count("*").alias("m"), F.sum("n").alias("total"), F.min("label").alias("lo"), F.max("label").alias("hi"),
         F.bit_xor(F.xxhash64("id")).alias("x"), F.sum(F.xxhash64("id", F.lit(1)).cast("decimal(38,0)")).alias("y"),
     )
-    apart = sums.where("lo != hi").groupBy("m", "x", "y", "total").agg(F.min("key").alias("key")).select("key")
+    apart = sums.where("lo != hi").groupBy("m", "x", "y", "total").agg(F.min("key").alias("key"))
+    # Members of one bucket are dealt to several tasks, each with a copy of what is known of the bucket.
+    dealt = lambda found: found.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))))
+    named = named.withColumn("deal", F.pmod(F.xxhash64("id"), F.lit(DEALS)).cast("int"))
+    named = named.join(dealt(apart.select("key")), ["key", "deal"], "left_semi")
     # Of each bucket: its largest class, then the blocks of that class and of the rest.
-    classes = named.join(apart, "key", "left_semi").groupBy("key", "label").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
+    classes = named.groupBy("key", "label").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
     need = lambda m, total: F.greatest(F.ceil(m / block_sets), F.ceil(total / block_shingles)).cast("int")
     largest = F.max(F.struct("m", "total", "label"))
     shape = classes.groupBy("key").agg(largest.alias("own"), F.sum("m").alias("m"), F.sum("total").alias("total"))
@@ -192,7 +198,7 @@ def links(
         "key", F.col("own.label").alias("largest"), need(F.col("own.m"), F.col("own.total")).alias("own"),
         need(F.col("m") - F.col("own.m"), F.col("total") - F.col("own.total")).alias("rest"),
     )
-    placed = named.join(shape, "key").withColumn("in_largest", F.col("label") == F.col("largest"))
+    placed = named.join(dealt(shape), ["key", "deal"]).withColumn("in_largest", F.col("label") == F.col("largest"))
     spread = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     placed = placed.withColumn("block", F.when(F.col("in_largest"), spread("own")).otherwise(F.col("own") + spread("rest")))
     first_met = F.when(F.col("in_largest"), F.col("own")).otherwise(F.lit(0))
