@@ -114,6 +114,25 @@ WITH RECURSIVE t AS (SELECT doc_id, list_filter(string_split_regex(translate(coa
 SELECT doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id, m.component_id = doc_id AS kept
 FROM t LEFT JOIN n USING (doc_id) JOIN (SELECT id AS doc_id, min(seen) AS component_id FROM r GROUP BY id) m USING (doc_id)"""
 
+# This engine's distance counts bytes: letters beyond ASCII become control characters, which lines do not hold.
+_LETTERS = "äöüßÄÖÜéèêëçÉÈÊÇñíóÑÍÓàâîôùáú"
+_COUNTED = "etaoinsrhlduc. "
+_LINES = f"""
+WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+ l AS (SELECT doc_id, i AS number, ls[i] AS raw, trim(ls[i], ' ' || chr(9) || chr(13)) AS line FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM t)),
+ d AS MATERIALIZED (SELECT line, min(struct_pack(doc_id := doc_id, number := number)) AS first, length(line) AS n,
+   translate(line, '{_LETTERS}', {" || ".join(f"chr({k})" for k in range(1, 32) if k not in (9, 10, 13))} || chr(127)) AS a,
+   [{", ".join(f"length(line) - length(replace(line, '{c}', ''))" for c in _COUNTED)}] AS c FROM l WHERE line <> '' GROUP BY line),
+ p AS (SELECT x.line AS x, y.line AS y, x.first AS fx, y.first AS fy FROM d x JOIN d y ON x.n <= y.n AND y.n <= x.n + x.n // {line_dedup.GROW} AND x.line <> y.line
+   WHERE (x.n < y.n OR x.line < y.line) AND list_sum(list_transform(list_zip(x.c, y.c), lambda z: abs(z[1] - z[2]))) <= 2 * (x.n // {line_dedup.GROW})
+   AND levenshtein(x.a, y.a) <= x.n // {line_dedup.GROW}),
+ k AS (SELECT line, count(*) AS links, min(other) AS earliest FROM (SELECT x AS line, fy AS other FROM p UNION ALL SELECT y, fx FROM p) GROUP BY line),
+ m AS (SELECT l.*, l.line <> '' AS counts, l.line <> '' AND struct_pack(doc_id := l.doc_id, number := l.number) = d.first AS own, coalesce(k.links, 0) AS links,
+   coalesce(k.earliest < d.first, false) AS near FROM l LEFT JOIN d ON l.line = d.line LEFT JOIN k ON l.line = k.line)
+SELECT doc_id, count(*) FILTER (counts) AS n_lines, count(*) FILTER (counts AND NOT own) AS n_repeats, count(*) FILTER (own AND near) AS n_near,
+ coalesce(sum(links) FILTER (own), 0)::BIGINT AS n_links, sha256(coalesce(string_agg(raw, chr(10) ORDER BY number) FILTER (NOT counts OR own AND NOT near), '')) AS kept_sha256
+FROM m GROUP BY doc_id"""
+
 ORACLE_SQL = {
     "op2_suffix_dedup": _REPEATS,
     "op3_minhash_dedup": _NEAR,
@@ -122,5 +141,6 @@ ORACLE_SQL = {
            g AS (SELECT sha, max(doc_id) AS keep_id, count(*) AS n FROM t GROUP BY sha)
       SELECT t.doc_id, g.keep_id, g.n AS group_size, t.doc_id = g.keep_id AS kept, t.sha AS text_sha256
       FROM t JOIN g ON t.sha = g.sha""",
+    "op5_line_dedup": _LINES,
     "op9_secret_scan": _SECRETS,
 }
