@@ -133,6 +133,14 @@ SELECT doc_id, count(*) FILTER (counts) AS n_lines, count(*) FILTER (counts AND
  coalesce(sum(links) FILTER (own), 0)::BIGINT AS n_links, sha256(coalesce(string_agg(raw, chr(10) ORDER BY number) FILTER (NOT counts OR own AND NOT near), '')) AS kept_sha256
 FROM m GROUP BY doc_id"""
 
+# The tables' pages have one article of headings and paragraphs, with two references in it.
+_ARTICLES = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)(</article>|$)', 1, 's') AS body FROM pages),
+ b AS (SELECT page_id, url, string_split_regex(regexp_replace(replace(body, '<br>', ' '), '</?b>', '', 'g'), '</?(?:p|h1)>') AS parts FROM a),
+ t AS (SELECT page_id, url, array_to_string(list_filter(list_transform(parts,
+   lambda x: trim(regexp_replace(regexp_replace(replace(x, '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM b)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM t"""
+
 ORACLE_SQL = {
     "op2_suffix_dedup": _REPEATS,
     "op3_minhash_dedup": _NEAR,
@@ -142,5 +150,6 @@ ORACLE_SQL = {
       SELECT t.doc_id, g.keep_id, g.n AS group_size, t.doc_id = g.keep_id AS kept, t.sha AS text_sha256
       FROM t JOIN g ON t.sha = g.sha""",
     "op5_line_dedup": _LINES,
+    "op6_html_text": _ARTICLES,
     "op9_secret_scan": _SECRETS,
 }
