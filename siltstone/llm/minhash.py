@@ -35,7 +35,7 @@ from .shingles import mix64, shingle_sets
 BANDS, ROWS = 40, 4
 WIDTH, PERCENT = 5, 75
 #: Most sets, and most shingles, in one block of a bucket.
-BLOCK_SETS, BLOCK_SHINGLES = 1024, 1 << 20
+BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 18
 #: Tasks over which a bucket's members are dealt to learn their blocks.
 DEALS = 16
 
