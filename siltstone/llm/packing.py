@@ -14,8 +14,8 @@ that end at candidate ``j``,
 
 where the first minimum is that of ``f(i) + p(i)`` over a sliding range, kept in
 a monotone queue, and the second has at most as many terms as there are powers
-below ``size``; they are found for all candidates at once. Of equal costs the
-longer window stands. Linear in the number of candidates.
+below ``size``; they are found for all candidates at once. Linear in the number
+of candidates.
 
 Ranges of documents are packed independently, so that tasks need nothing of
 each other; within a range, blocks of about ``block_tokens`` are solved one
@@ -26,7 +26,6 @@ does not grow with the range.
 from __future__ import annotations
 
 import zlib
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,22 +72,20 @@ def candidates(ends: np.ndarray, is_end: np.ndarray, max_run: int = MAX_RUN) ->
     return places, kind[places]
 
 
-def _powers_before(places: np.ndarray, size: int) -> list[tuple[int, ...] | list[int]]:
-    """For each candidate the candidates a power of two below ``size`` before it, ascending."""
+def _powers_before(places: np.ndarray, size: int) -> tuple[list[int], list[int]]:
+    """The candidates a power of two below ``size`` before each candidate, ascending, one after the other, and how many each has."""
+    n = len(places)
     index = np.full(int(places[-1]) + 1, -1, np.int32)
-    index[places] = np.arange(len(places), dtype=np.int32)
-    ends, begins = [], []
-    for step in (1 << k for k in reversed(range(size.bit_length())) if 1 << k < size):
+    index[places] = np.arange(n, dtype=np.int32)
+    pairs = [np.empty(0, np.int64)]
+    for step in (1 << k for k in range(size.bit_length()) if 1 << k < size):
         first = int(np.searchsorted(places, step))
         found = index[places[first:] - step]
         has = np.flatnonzero(found >= 0)
-        ends.append(has + first)
-        begins.append(found[has])
-    end, begin = np.concatenate([*ends, np.empty(0, np.int64)]), np.concatenate([*begins, np.empty(0, np.int32)])
-    order = np.argsort(end, kind="stable")
-    bounds = np.searchsorted(end[order], np.arange(len(places) + 1)).tolist()
-    flat = begin[order].tolist()
-    return [flat[a:b] if b > a else () for a, b in zip(bounds, bounds[1:])]
+        pairs.append((has + first) * n + found[has])
+    pairs = np.sort(np.concatenate(pairs))
+    end = pairs // n
+    return (pairs - end * n).tolist(), np.bincount(end, minlength=n).tolist()
 
 
 def cut(places: np.ndarray, kinds: np.ndarray, size: int = SIZE, penalties=(0, SENTENCE_PENALTY, FORCED_PENALTY)) -> list[int]:
@@ -96,26 +93,31 @@ def cut(places: np.ndarray, kinds: np.ndarray, size: int = SIZE, penalties=(0, S
     p = places.tolist()
     price = np.array(penalties)[kinds].tolist()
     price[-1] = 0
-    befores = _powers_before(places, size)
-    best, back = [0] * len(p), [0] * len(p)
-    queue: deque[tuple[int, int]] = deque([(0, 0)])  # (f + p, index), ascending from the left
-    pop, push, popleft = queue.pop, queue.append, queue.popleft
-    for j in range(1, len(p)):
-        here = p[j]
+    befores, numbers = _powers_before(places, size)
+    at = 0
+    best, back = [0], [0]
+    keys, queue, head = [0], [0], 0  # f + p, ascending, and the candidates; what lies before head has left
+    for j, (here, penalty, number) in enumerate(zip(p[1:], price[1:], numbers[1:]), 1):
         low = here - size
-        while p[queue[0][1]] < low:
-            popleft()
-        value, i = queue[0]
-        value += size - here
-        for k in befores[j]:  # ascending: the longest window first
-            if best[k] < value or best[k] == value and k < i:
-                value, i = best[k], k
-        value += price[j]
-        best[j], back[j] = value, i
+        while p[queue[head]] < low:
+            head += 1
+        i = queue[head]
+        value = keys[head] + size - here
+        if number:
+            for k in befores[at : at + number]:  # the longest window first
+                cost = best[k]
+                if cost < value:
+                    value, i = cost, k
+            at += number
+        value += penalty
+        best.append(value)
+        back.append(i)
         key = value + here
-        while queue and queue[-1][0] > key:
-            pop()
-        push((key, j))
+        while len(keys) > head and keys[-1] > key:
+            keys.pop()
+            queue.pop()
+        keys.append(key)
+        queue.append(j)
     out, j = [], len(p) - 1
     while j:
         out.append(p[j])
