@@ -118,7 +118,7 @@ def chunk(df: DataFrame, content: str = "content", how: str = "fixed", **sizes)
         headers = sizes.pop("headers", tar.HEADERS) if how == "tar_headers" else None
         return tar.chunk_archives(df, content, headers, **sizes)
     if how in REWRITTEN:
-        return chunk(df.withColumn(content, tar.rewritten(tar.migrate, content)), content, REWRITTEN[how], **sizes)
+        return chunk(tar.rewrite(df, tar.migrate, content), content, REWRITTEN[how], **sizes)
     raise ValueError(f"no chunker {how!r}")
 
 

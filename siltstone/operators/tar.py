@@ -8,11 +8,14 @@ column functions and, for the walk, here.
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.storage import BATCH_BYTES, bound_batches, whole_udf
 from .chunking import fastcdc_cuts
 
 BLOCK = 512
@@ -128,20 +131,33 @@ def restore_migrated(data: bytes) -> bytes:
     return b"".join(out)
 
 
-def rewritten(f, content: str):
-    """Column: ``f`` (bytes -> bytes) of each binary."""
+def rewrite(df: DataFrame, f, content: str = "content") -> DataFrame:
+    """``df`` with ``f`` (bytes -> bytes) of each archive in its place.
 
-    @F.pandas_udf("binary")
-    def run(archives: pd.Series) -> pd.Series:
-        return archives.map(lambda x: f(bytes(x)))
+    Rows pass through Python whole, so no copy of an archive waits for its result,
+    and results leave in batches of about ``BATCH_BYTES`` however many archives came in one.
+    """
+    bound_batches(df.sparkSession)
+    at = df.columns.index(content)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            begin, size, made = 0, 0, []
+            for k, x in enumerate(batch.column(at), 1):
+                made.append(f(x.as_buffer().to_pybytes()) if x.is_valid else None)
+                size += len(made[-1] or b"")
+                if size >= BATCH_BYTES or k == batch.num_rows:
+                    part = batch.slice(begin, k - begin)
+                    yield part.set_column(at, content, pa.array(made, pa.binary()))
+                    begin, size, made = k, 0, []
 
-    return run(F.col(content))
+    return df.mapInArrow(run, df.schema)
 
 
 def chunk_archives(df: DataFrame, content: str = "content", headers: int | None = None, **options) -> DataFrame:
     """``df`` with a row for each chunk: seq, kind, parts (offset, size), chunk, chunk_size. Parts restore the order."""
 
-    @F.pandas_udf("array<struct<kind:string,parts:array<struct<offset:long,size:long>>,chunk:binary>>")
+    @whole_udf("array<struct<kind:string,parts:array<struct<offset:long,size:long>>,chunk:binary>>")
     def run(archives: pd.Series) -> pd.Series:
         out = []
         for data in archives:
@@ -165,7 +181,7 @@ def chunk_archives(df: DataFrame, content: str = "content", headers: int | None
 def restore_archives(chunks: DataFrame) -> DataFrame:
     """(version, content) from chunks with parts, in the order of the parts' offsets."""
 
-    @F.pandas_udf("binary")
+    @whole_udf("binary")
     def run(pieces: pd.Series) -> pd.Series:
         out = []
         for rows in pieces:
@@ -187,7 +203,7 @@ def pack_archives(df: DataFrame, name: str, content: str, order: str | None = No
     import io
     import tarfile
 
-    @F.pandas_udf("binary")
+    @whole_udf("binary")
     def run(members: pd.Series) -> pd.Series:
         out = []
         for rows in members:

@@ -5,6 +5,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Bytes of a batch that a Python column function gets; a longer row is a batch of its own.
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -17,6 +21,17 @@ def shared_dir(spark: SparkSession) -> str:
     return "file:///tmp/checkpoints/siltstone"
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Python workers get at most ``BATCH_BYTES`` at once, however many rows that is."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def whole_udf(returns: str):
+    """``pandas_udf`` of whole binaries, in bounded batches."""
+    bound_batches(SparkSession.active())
+    return F.pandas_udf(returns)
+
+
 def save(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage ends there."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -615,8 +615,7 @@ def archive_restore(spark, d):
 def migrated_restore(spark, d):
     """Archives rewritten with headers last and back."""
     archives = save(spark, _archives(spark, d), "archives")
-    moved = archives.select("version", tar.rewritten(tar.migrate, "content").alias("content"))
-    return _equal(archives, moved.select("version", tar.rewritten(tar.restore_migrated, "content").alias("content")))
+    return _equal(archives, tar.rewrite(tar.rewrite(archives, tar.migrate), tar.restore_migrated))
 
 
 #: Documents of a multi-member archive.
@@ -655,7 +654,7 @@ def archive_grouped_headers(spark, d):
  sha256(unhex(string_agg(hex(body) || repeat('00', (padded - n)::BIGINT), '' ORDER BY k))) AS payload_sha FROM p JOIN e USING (version) GROUP BY version""")
 def migrated_payload(spark, d):
     """Archives rewritten with all payloads in front: their length, and what the payloads are."""
-    moved = _big_archives(spark, d).select("version", tar.rewritten(tar.migrate, "content").alias("c"))
+    moved = tar.rewrite(_big_archives(spark, d), tar.migrate).select("version", F.col("content").alias("c"))
     n = _little_endian(F.substring("c", 1, 8))
     payload = F.substring(F.col("c"), F.lit(9), n.cast("int"))
     return moved.select("version", F.octet_length("c").cast("long").alias("n_bytes"), n.alias("payload_bytes"), F.sha2(payload, 256).alias("payload_sha"))
@@ -678,7 +677,7 @@ def _archives_restored(spark, d, how: str, **sizes):
     recipe = fingerprint.recipes(chunks, index)
     if how in chunking.REWRITTEN:
         whole = store.restore(recipe, stored)
-        return _equal(archives, whole.select("version", tar.rewritten(tar.restore_migrated, "content").alias("content")))
+        return _equal(archives, tar.rewrite(whole, tar.restore_migrated))
     placed = chunks.select("version", "seq", "parts").join(recipe, ["version", "seq"]).join(store.read_chunks(stored), "chunk_id")
     return _equal(archives, tar.restore_archives(placed))
 

@@ -3,12 +3,14 @@ import random
 import tarfile
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions import names
 from siltstone.functions.rolling import GEAR, gear, windows
 from siltstone.operators import asof, chunking, codec, features, fingerprint, methods, similarity, store, tar
+from siltstone.plans.storage import BATCH_BYTES
 
 MASK = (1 << 64) - 1
 
@@ -299,6 +301,20 @@ def test_archives_cut_move_and_restore(spark, format):
         assert {r.version: bytes(r.content) for r in tar.restore_archives(chunks).collect()} == {0: raw, 2: b"no archive"}
 
 
+def test_archives_are_rewritten_in_place(spark):
+    raw = archive(tarfile.GNU_FORMAT)
+    rows = [(0, raw, "a"), (1, None, "b"), (2, raw, None)]
+    df = spark.createDataFrame(rows, "version long, content binary, other string")
+    moved = tar.rewrite(df, tar.migrate)
+    assert {(r.version, r.content, r.other) for r in moved.collect()} == {(v, c and tar.migrate(c), o) for v, c, o in rows}
+    assert {tuple(r) for r in tar.rewrite(moved, tar.restore_migrated).collect()} == set(rows)
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    many = spark.range(0, 3 * (BATCH_BYTES // len(raw)), 1, 1).select(F.lit(raw).alias("content"))
+    size = lambda batches: (b.slice(0, 1).set_column(0, "content", pa.array([b.nbytes.to_bytes(8, "big")], pa.binary())) for b in batches)
+    got = tar.rewrite(many, tar.migrate).mapInArrow(size, "content binary").collect()
+    assert max(int.from_bytes(r.content, "big") for r in got) <= BATCH_BYTES + 64 * len(raw)
+
+
 def test_name_functions(spark):
     rows = [("v1/a/b.c",), ("noslash",), ("v1/a",), ("v1/a/b/c/d",), ("x/",), ("",)]
     df = spark.createDataFrame(rows, "n string")
