@@ -4,14 +4,16 @@ A byte-level BPE vocabulary never merges across its pre-token bounds, and a
 single space or line feed between two other characters always is one. So a
 text without other white space is the concatenation of its words' ids; each
 distinct word goes through the library once while it stays in the cache. All
-other texts (double spaces, tabs, special-token strings, a space at either
-end) go through the library whole.
+other texts (double spaces or line feeds, tabs, special-token strings, a space at
+the end or before a line feed) go through the library whole. Line feeds open a
+piece of their own, so a word at a line's end is known whatever follows.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from operator import itemgetter
 
 import numpy as np
 
@@ -53,90 +55,70 @@ class Encoder:
             self.surface[i] = token
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.marks = {m: self.whole(m) for m in ".,\n"}
-        #: Ids of words that follow a space, and of words that begin a line; None: the text is odd.
-        self.after_space: dict[str, bytes | None] = {}
-        self.at_start: dict[str, bytes | None] = {}
+        #: Ids of words that follow a space; those that begin a line start with its line feed. None: the text is odd.
+        self.known: dict[str, bytes | None] = {"\n": self.marks["\n"]}
 
     def whole(self, text: str) -> bytes:
         ids = self.library.encode(text, add_special_tokens=False).ids
         return np.array(ids, "<u4").tobytes()
 
     def _is_odd(self, piece: str) -> bool:
-        return (
-            not piece
-            or piece[0] == "\n"
-            or "\n\n" in piece
-            or _OTHER_SPACE.search(piece) is not None
-            or any(s in piece for s in self.special)
-        )
-
-    def _learn_words(self, words: set[str], known: dict, lead: str) -> None:
-        """Put words without white space into ``known``; ``lead`` stands before each of them."""
-        new = list(words)
-        joined = [new[at : at + self.JOINED] for at in range(0, len(new), self.JOINED)]
-        found = self.library.encode_batch_fast(
-            [lead + lead.join(part) for part in joined], add_special_tokens=False
-        )
-        skip = 0 if lead == " " else 1  # a line feed is a token of its own, a space is not
-        for part, encoding in zip(joined, found):
-            ids = np.array(encoding.ids, "<u4")
-            ends = np.searchsorted(np.cumsum(self.widths[ids]), np.cumsum([len(w.encode()) + 1 for w in part])) + 1
-            ends = (4 * ends).tolist()
-            raw = ids.tobytes()
-            begins = [4 * skip, *(e + 4 * skip for e in ends)]
-            known.update((w, raw[b:e]) for w, b, e in zip(part, begins, ends))
-
-    def _learn(self, spaced: set[str], first: set[str]) -> None:
-        """Put pieces between single spaces into the caches; a piece may hold single line feeds.
+        return not piece or _OTHER_SPACE.search(piece) is not None or any(s in piece for s in self.special)
+
+    def _learn_words(self, new: list[str], lead: str) -> None:
+        """Make words without white space known as they are after ``lead``, a space or a line feed."""
+        texts = [lead + lead.join(new[at : at + self.JOINED]) for at in range(0, len(new), self.JOINED)]
+        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
+        ids = np.concatenate([np.empty(0, "<u4"), *(np.array(e.ids, "<u4") for e in found)])
+        # Each word goes with what leads it: a space is in the word's first token, a line feed is a token of its own.
+        sizes = np.array([len(w) if w.isascii() else len(w.encode()) for w in new], np.int64) + 1
+        ends = 4 * (np.searchsorted(np.cumsum(self.widths[ids]), np.cumsum(sizes)) + 1)
+        raw, ends = ids.tobytes(), ends.tolist()
+        words = new if lead == " " else [lead + w for w in new]
+        self.known.update(zip(words, map(raw.__getitem__, map(slice, [0, *ends], ends))))
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Make pieces between single spaces known; a piece that begins a line has its line feed in front.
 
         A comma or full stop after a word of letters alone is a token of its own.
         """
-        words: set[str] = set()
-        starts: set[str] = set()
-        cut, long = [], []
-        for known, pieces, plain in ((self.after_space, spaced, words), (self.at_start, first, starts)):
-            for piece in pieces:
-                if piece.isalpha():
-                    plain.add(piece)
-                elif (core := piece[:-1]).isalpha() and piece[-1] in ".,":
-                    cut.append((known, piece, core))
-                    plain.add(core)
-                elif self._is_odd(piece):
-                    known[piece] = None
-                elif "\n" in piece:
-                    head, *rest = piece.split("\n")
-                    long.append((known, piece, head, rest))
-                    plain.add(head)
-                    starts.update(filter(None, rest))
-                else:
-                    plain.add(piece)
-        self._learn_words(words - self.after_space.keys(), self.after_space, " ")
-        self._learn_words(starts - self.at_start.keys(), self.at_start, "\n")
-        feed = self.marks["\n"]
-        for known, piece, core in cut:
-            known[piece] = known[core] + self.marks[piece[-1]]
-        for known, piece, head, rest in long:
-            known[piece] = known[head] + b"".join(feed + self.at_start[r] if r else feed for r in rest)
+        known, marks = self.known, self.marks
+        spaced = set(filter(str.isalpha, pieces))
+        first, cut = set(), []
+        for piece in pieces - spaced:
+            word = piece[1:] if piece[:1] == "\n" else piece
+            if word[-1:] in marks and word[:-1].isalpha():
+                cut.append(piece)
+            elif self._is_odd(word):
+                known[piece] = None
+            elif word is piece:
+                spaced.add(piece)
+            else:
+                first.add(word)
+        for core in {piece[:-1] for piece in cut}.difference(known):
+            first.add(core[1:]) if core[0] == "\n" else spaced.add(core)
+        self._learn_words(list(spaced), " ")
+        self._learn_words(list(first), "\n")
+        known.update([(piece, known[piece[:-1]] + marks[piece[-1]]) for piece in cut])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each whole text as little-endian unsigned 32-bit integers; null is empty."""
-        if len(self.after_space) + len(self.at_start) > self.CACHE_WORDS:
-            self.after_space.clear()
-            self.at_start.clear()
-        split = [t.split(" ") if t else None for t in texts]
-        have = self.after_space
-        new = {w for s in split if s for w in s[1:] if w not in have}
-        first = {s[0] for s in split if s} - self.at_start.keys()
-        if new or first:
-            self._learn(new, first)
-        get = have.__getitem__
+        known = self.known
+        if len(known) > self.CACHE_WORDS:
+            known.clear()
+            known["\n"] = self.marks["\n"]
+        # As if a line feed stood before each text: then each piece follows a space or begins with a line feed.
+        split = [None if not t or "\n\n" in t or t[0] == "\n" else ("\n" + t.replace("\n", " \n")).split(" ") for t in texts]
+        new = set().union(*filter(None, split)).difference(known)
+        if new:
+            self._learn(new)
         out = []
-        for text, s in zip(texts, split):
-            if s is None:
-                out.append(b"")
+        for text, pieces in zip(texts, split):
+            if pieces is None:
+                out.append(self.whole(text) if text else b"")
                 continue
             try:
-                out.append(self.at_start[s[0]] + b"".join(map(get, s[1:])))
+                out.append(b"".join(itemgetter(*pieces, "\n")(known)[:-1])[4:])
             except TypeError:  # a piece is None
                 out.append(self.whole(text))
         return out

@@ -23,6 +23,16 @@ def test_encoder_equals_library(text):
     assert coder.encode([text]) == [coder.whole(text)]
 
 
+def test_words_at_line_ends_are_cached_once():
+    """Each word is known for itself, not for the word that begins the next line."""
+    coder = tokens.Encoder(tokens.vocabulary_path())
+    words = [a + b for a in ("ka", "lo", "mi", "ter", "an") for b in ("so", "ri", "é", "mu", "el")]
+    text = " ".join(f"{a}.\n{b}" for a in words for b in words)
+    before = [len(x) for x in vars(coder).values() if isinstance(x, dict)]
+    assert coder.encode([text, "\n" + text, " " + text, text + "\n"]) == [coder.whole(x) for x in (text, "\n" + text, " " + text, text + "\n")]
+    assert sum(len(x) for x in vars(coder).values() if isinstance(x, dict)) - sum(before) <= 4 * len(words)
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
