@@ -352,6 +352,37 @@ def test_long_distances():
             assert line_dedup.may_be_within(a, b, edits) or distance > edits
 
 
+def test_lines_send_few_keys():
+    rng = random.Random(12)
+    lines = sorted((words(rng, rng.randint(4, 120)) for _ in range(200)), key=len)
+    keys = [line_dedup._Plan(16).grams(line) for line in lines]
+    assert sum(len(own) + len(others) for own, others in keys) < 0.75 * sum(map(len, lines))
+
+
+def test_distances_in_step():
+    rng = random.Random(6)
+    pairs = []
+    for k in range(1500):
+        a = "".join(rng.choice("abc\u00e9\U0001f600" if k % 9 == 0 else "abc\u00e9") for _ in range(rng.randint(1, rng.choice([20, 80, 300, 700]))))
+        edits = rng.choice([0, 1, 3, 31, 33, len(a) // 16, len(a) // 16 + 1])
+        b = list(a)
+        for _ in range(rng.randint(0, edits * 4 // 3 + 1)):
+            at = rng.randint(0, len(b))
+            b[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "xy"])
+        pairs.append((a, "".join(b), edits))
+    expected = [line_dedup.within(*p) for p in pairs]
+    assert line_dedup.within_all(pairs).tolist() == expected and 300 < sum(expected) < 1400
+
+
+def test_a_piece_that_lines_repeat(spark):
+    rng = random.Random(13)
+    spam = ["And " * 60 + words(rng, 3) + " And" * rng.randint(0, 6) for _ in range(40)]
+    rows = [(k, "\n".join([line, "".join("x" if rng.random() < 0.03 else c for c in line)])) for k, line in enumerate(spam)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = line_dedup.deduplicate_lines(docs, block_bytes=4000)
+    assert sorted(map(tuple, got.collect()), key=repr) == brute_lines(rows)
+
+
 def test_lines_of_hostile_rows_and_of_none(hostile, empty):
     assert line_dedup.deduplicate_lines(hostile).count() == len(hostile_rows())
     assert line_dedup.deduplicate_lines(empty).collect() == []
