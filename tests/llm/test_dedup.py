@@ -359,7 +359,7 @@ def test_lines_send_few_keys():
     assert sum(len(own) + len(others) for own, others in keys) < 0.75 * sum(map(len, lines))
 
 
-def test_distances_in_step():
+def test_distances_in_step(monkeypatch):
     rng = random.Random(6)
     pairs = []
     for k in range(1500):
@@ -372,6 +372,8 @@ def test_distances_in_step():
         pairs.append((a, "".join(b), edits))
     expected = [line_dedup.within(*p) for p in pairs]
     assert line_dedup.within_all(pairs).tolist() == expected and 300 < sum(expected) < 1400
+    monkeypatch.setattr(line_dedup, "BAND_WORDS", 5000)  # many letters
+    assert line_dedup.within_all(pairs).tolist() == expected
 
 
 def test_a_piece_that_lines_repeat(spark):
