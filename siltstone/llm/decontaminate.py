@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, tokens
 
 #: One edit for so many characters of a normalised item.
 BUDGET_SHARE = 16
@@ -182,6 +182,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 
 def _hits_of(items: list[tuple[int, str]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         matcher = Matcher(items)
         for batch in batches:
             out = []
@@ -201,6 +202,7 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text")
 
     def without(items):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tokens.forget()
             matcher = Matcher(items)
             for batch in batches:
                 if batch.num_rows:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, tokens
 from .components import components
 from .shingles import mix64, shingle_sets
 
@@ -80,6 +80,7 @@ SKETCH = "doc_id long, n long, set_key binary, bands array<long>"
 
 def sketches(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         for batch in batches:
             sets = shingle_sets(batch.column(1).to_pylist(), width)
             keys = [xxhash.xxh3_128_digest(s) if len(s) else None for s in sets]
@@ -99,6 +100,7 @@ def _full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """(id, shingles) of the documents in ``ids``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         for batch in batches:
             sets = shingle_sets(batch.column(1).to_pylist(), width)
             offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
@@ -115,6 +117,7 @@ def _search(percent: int):
     """All links that join classes within the sets of one task."""
 
     def run(group: pa.Table) -> pa.Table:
+        tokens.forget()
         group = group.combine_chunks()
         ids = group.column("id").to_numpy()
         column = group.column("shingles").chunk(0)

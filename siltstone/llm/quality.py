@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, tokens
 from .shingles import mix64, word_hashes
 
 FEATURES = 15
@@ -91,6 +91,7 @@ def feature_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, x) of each row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         for batch in batches:
             x = [statistics(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "x"])
@@ -199,6 +200,7 @@ def scores(
     model = fit(_saved(features.join(own, features["doc_id"] == own["id"]).select("doc_id", "x", "label")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         for batch in batches:
             s = model.score(_array(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64())], ["doc_id", "score"])
@@ -226,6 +228,7 @@ def keep_good(
     model = fit(_saved(known.join(own, F.col("doc_id") == F.col("its_id")).select("doc_id", "x", "label")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         for batch in batches:
             if batch.num_rows:
                 x = np.array([statistics(t) for t in batch.column(text_col).to_pylist()])

@@ -34,6 +34,12 @@ def encoder(path: str) -> "Encoder":
     return _loaded[path]
 
 
+def forget() -> None:
+    """Give up the words that this process keeps: other steps of a pipeline run in the same workers and need the memory."""
+    for found in _loaded.values():
+        found.forget()
+
+
 class Encoder:
     #: Words kept; about 250 bytes each. Beyond it the cache starts anew.
     CACHE_WORDS = 900_000
@@ -101,12 +107,15 @@ class Encoder:
         self._learn_words(list(first), "\n")
         known.update([(piece, known[piece[:-1]] + marks[piece[-1]]) for piece in cut])
 
+    def forget(self) -> None:
+        self.known.clear()
+        self.known["\n"] = self.marks["\n"]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each whole text as little-endian unsigned 32-bit integers; null is empty."""
         known = self.known
         if len(known) > self.CACHE_WORDS:
-            known.clear()
-            known["\n"] = self.marks["\n"]
+            self.forget()
         # As if a line feed stood before each text: then each piece follows a space or begins with a line feed.
         split = [None if not t or "\n\n" in t or t[0] == "\n" else ("\n" + t.replace("\n", " \n")).split(" ") for t in texts]
         new = set().union(*filter(None, split)).difference(known)

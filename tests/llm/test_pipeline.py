@@ -44,3 +44,36 @@ def test_registration():
     found = entry.queries()
     assert {f"op{n}" for n in range(1, 11)} == {name.split("_")[0] for name in found if name.startswith("op") and name[2].isdigit()}
     assert "pipeline" in found and set(entry.oracle_sql()) <= set(found)
+
+
+class Recorded:
+    """Stands in for a table: gives the function that it would run in Python workers."""
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):
+        return run
+
+
+def test_steps_release_the_words_of_the_packing_before(spark):
+    """Workers are reused: what packing keeps in them must not add to the memory of the other steps."""
+    import pyarrow as pa
+
+    from siltstone.llm import decontaminate, minhash, tokens
+
+    coder = tokens.encoder(tokens.vocabulary_path())
+    one = {"key": [1], "i": [0], "j": [0], "id": [1], "label": [1], "side": [0]}
+    task = pa.table(one | {"shingles": pa.array([[1, 2]], pa.list_(pa.int64()))})
+    steps = [
+        lambda: list(quality.feature_table(Recorded(), "doc_id", "text")(iter([]))),
+        lambda: list(minhash.sketches(Recorded(), 5, 40, 4)(iter([]))),
+        lambda: minhash._search(75)(task),
+        lambda: list(decontaminate._hits_of([(1, "an item")])(iter([]))),
+    ]
+    for step in steps:
+        before = coder.encode(["some words\nof a text"])
+        assert len(coder.known) > 1
+        step()
+        assert len(coder.known) == 1
+        assert coder.encode(["some words\nof a text"]) == before
