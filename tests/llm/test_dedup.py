@@ -376,6 +376,45 @@ def test_distances_in_step(monkeypatch):
     assert line_dedup.within_all(pairs).tolist() == expected
 
 
+def test_many_edits_go_in_step(monkeypatch):
+    """A word holds the diagonals of 62 edits, since what leaves the last one must come back to it."""
+    rng = random.Random(14)
+    pairs, expected = [], []
+    for _ in range(150):
+        a = "".join(rng.choice("abcdefgh") for _ in range(rng.randint(70, 140)))
+        b = list(a)
+        for _ in range(rng.randint(20, 90)):
+            at = rng.randint(0, len(b))
+            b[at : at + rng.randint(0, 1)] = rng.choice(["", "x", "a", "bc"])
+        moved = rng.randint(0, 40) if rng.random() < 0.3 else 0
+        b = "".join(b[moved:]) + a[:moved]
+        distance = edit_distance(a, b)
+        for edits in (distance - 1, distance, rng.randint(32, 62)):
+            if abs(len(a) - len(b)) <= edits <= 62:
+                pairs.append((a, b, edits))
+                expected.append(distance <= edits)
+    monkeypatch.setattr(line_dedup, "_columns", None)
+    assert line_dedup.within_all(pairs).tolist() == expected and 100 < sum(expected) < len(expected) - 100
+
+
+def test_counts_of_neighbours_rule_out_lines_of_the_same_letters():
+    rng = random.Random(15)
+    lines = ["".join(rng.choice("abcd efgh") for _ in range(rng.randint(16, 700))) for _ in range(40)]
+    others = []
+    for line in lines:
+        near = list(line)
+        for _ in range(len(line) // 16):
+            at = rng.randint(0, len(near))
+            near[at : at + rng.randint(0, 1)] = rng.choice(["", "x", "é"])
+        others.append("".join(near))
+    turned = ["".join(rng.sample(line, len(line))) for line in lines]
+    one, two = line_dedup._Neighbours(lines), line_dedup._Neighbours(others + turned)
+    at = np.arange(40)
+    close = np.array([edit_distance(a, b) <= min(len(a), len(b)) // 16 for a, b in zip(lines, others)])
+    assert one.fit(at, two, at, 16)[close].all() and close.sum() > 20
+    assert one.fit(at, two, at + 40, 16).sum() < 4
+
+
 def test_a_piece_that_lines_repeat(spark):
     rng = random.Random(13)
     spam = ["And " * 60 + words(rng, 3) + " And" * rng.randint(0, 6) for _ in range(40)]
