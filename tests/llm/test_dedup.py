@@ -397,6 +397,17 @@ def test_many_edits_go_in_step(monkeypatch):
     assert line_dedup.within_all(pairs).tolist() == expected and 100 < sum(expected) < len(expected) - 100
 
 
+def test_pairs_pack_well():
+    """By planes of bytes they take much less than as they are."""
+    rng = np.random.default_rng(16)
+    pairs = np.empty(4000, line_dedup._PAIR)
+    pairs["line"], pairs["other"] = np.sort(rng.integers(0, 6000, 4000)), rng.integers(0, 6000, 4000)
+    pairs["block"] = rng.integers(0, 32, 4000) << 32 | rng.integers(0, 13, 4000)
+    raw = line_dedup._pack_pairs(pairs)
+    assert (line_dedup._unpack_pairs(raw) == pairs).all() and len(raw) < 0.75 * len(line_dedup._pack(pairs.tobytes()))
+    assert len(line_dedup._unpack_pairs(line_dedup._pack_pairs(pairs[:0]))) == 0
+
+
 def test_counts_of_neighbours_rule_out_lines_of_the_same_letters():
     rng = random.Random(15)
     lines = ["".join(rng.choice("abcd efgh") for _ in range(rng.randint(16, 700))) for _ in range(40)]
