@@ -3,6 +3,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from siltstone.llm import exact, line_dedup, minhash, queries, suffix_dedup
@@ -426,6 +427,34 @@ def test_counts_of_neighbours_rule_out_lines_of_the_same_letters():
     assert one.fit(at, two, at + 40, 16).sum() < 4
 
 
+def test_pairs_of_a_block_are_decided_a_few_at_a_time(monkeypatch):
+    """However many pairs two blocks have, only so many wait with their lines."""
+    rng = random.Random(17)
+    base = words(rng, 30)
+    rows = [(k, "\n".join(f"{base} {n}{k}" for n in "abcdefgh")) for k in range(12)]
+    made = line_dedup._Lines(np.arange(12), [text for _, text in rows])
+    raw = [text.encode() for _, text in rows]
+    n = len(made.lines)
+    row = pa.table({
+        "block": [1], "ids": [np.arange(12).tobytes()], "lengths": [np.array([len(x) for x in raw]).tobytes()],
+        "text": [line_dedup._pack(b"".join(raw))],
+    })
+    of, other = (x.ravel().astype("<i4") for x in np.meshgrid(np.arange(n), np.arange(n)))
+    pairs = np.empty(n * n, line_dedup._PAIR)
+    pairs["line"], pairs["other"], pairs["block"] = of, other, 2
+    answers = pa.table({"block": [1], "list": [line_dedup._pack_pairs(pairs[np.argsort(of, kind="stable")])]})
+    sent = line_dedup._send_lines(row, answers)
+    counts, real = [], line_dedup.within_all
+    monkeypatch.setattr(line_dedup, "within_all", lambda tried: counts.append(len(tried)) or real(tried))
+    whole = line_dedup._join(16)(row, sent)
+    assert sum(counts) == n * n == 96 * 96
+    counts.clear()
+    monkeypatch.setattr(line_dedup, "TRIED", 500)
+    keys = [("block", "ascending"), ("entry", "ascending")]
+    assert line_dedup._join(16)(row, sent).sort_by(keys) == whole.sort_by(keys)
+    assert sum(counts) == n * n and max(counts) < 1000
+
+
 def test_a_piece_that_lines_repeat(spark):
     rng = random.Random(13)
     spam = ["And " * 60 + words(rng, 3) + " And" * rng.randint(0, 6) for _ in range(40)]
