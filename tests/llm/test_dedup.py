@@ -360,6 +360,35 @@ def test_lines_send_few_keys():
     assert sum(len(own) + len(others) for own, others in keys) < 0.75 * sum(map(len, lines))
 
 
+def test_only_pieces_rarer_than_their_neighbours_are_keys():
+    """All pieces counted once: 0.31 keys a character of these lines."""
+    rng = random.Random(12)
+    vocabulary = words(rng, 800).split()
+    lines = sorted((" ".join(rng.choice(vocabulary) for _ in range(rng.randint(12, 120))) for _ in range(300)), key=len)
+    plan = line_dedup._Plan(16, line_dedup._learn(*line_dedup._count_pieces(["\n".join(lines)])))
+    assert len(plan.keys(lines)[0]) < 0.28 * sum(map(len, lines))
+
+
+def test_near_lines_share_a_key_even_with_few_pieces_rarer_than_their_neighbours():
+    rng = random.Random(18)
+    plan, odd, met = line_dedup._Plan(16), 0, 0
+    for _ in range(1500):
+        n, part = rng.randint(64, 300), "".join(rng.choice("abcd") for _ in range(rng.randint(1, 40)))
+        a = "".join(rng.choice("abcdefgh ") for _ in range(n)) if rng.random() < 0.5 else (part * n)[:n]
+        b = list(a)
+        step = rng.choice([15, 16, 17])
+        for at in range(rng.randint(0, 16), n, step) if rng.random() < 0.7 else rng.sample(range(n), n // 16):
+            b[at : at + 1] = rng.choice(["", "x", "y", "xy", b[at : at + 1]])
+        b = "".join(b)
+        if a == b or not line_dedup.within(a, b, min(len(a), len(b)) // 16):
+            continue
+        met += 1
+        odd += sum(plan.chosen([x], 10, 1, 1)[3].any() for x in (a, b))
+        line, _, hashed, _ = plan.keys(sorted((a, b), key=len))
+        assert set(hashed[line == 0].tolist()) & set(hashed[line == 1].tolist())
+    assert met > 200 and odd > 50
+
+
 def test_distances_in_step(monkeypatch):
     rng = random.Random(6)
     pairs = []
