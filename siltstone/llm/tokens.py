@@ -41,8 +41,8 @@ def forget() -> None:
 
 
 class Encoder:
-    #: Words kept; about 250 bytes each. Beyond it the cache starts anew.
-    CACHE_WORDS = 900_000
+    #: Words kept; about 250 bytes each. Beyond it the cache starts anew. With a batch more they just fit a dict of 2 ** 21 slots.
+    CACHE_WORDS = 1_350_000
     #: Words joined into one string for the library.
     JOINED = 200
 

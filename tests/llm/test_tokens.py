@@ -37,6 +37,13 @@ def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
+def test_a_million_words_stay_cached():
+    coder = tokens.Encoder(tokens.vocabulary_path())
+    coder.known.update((str(k), b"") for k in range(1_200_000))
+    coder.encode(["once"])
+    assert len(coder.known) > 1_200_000
+
+
 def test_levels_round_trip_and_random_access():
     rng = np.random.default_rng(0)
     for top in (1, 200, 300, 70_000, 1 << 32):
