@@ -173,6 +173,7 @@ def pack(
     block_tokens: int = BLOCK_TOKENS,
     id_col: str = "doc_id",
     text_col: str = "text",
+    cache_words: int = tokens.CACHE_WORDS,
 ) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
@@ -180,13 +181,14 @@ def pack(
     text, each a document of its own; what repeats very often is dealt to several
     tasks all the same. An empty table gives no rows. Sequence ids
     ascend with the documents; they are unique, not gapless. Other columns of
-    ``docs`` are not looked at.
+    ``docs`` are not looked at. A worker keeps up to ``cache_words`` words, of about
+    250 bytes each, and the next task there goes on with them.
     """
     vocabulary = vocabulary or tokens.vocabulary_path()
     schema = pa.schema([(c.split()[0], pa.int64()) for c in PIECES.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = tokens.encoder(vocabulary)
+        coder = tokens.encoder(vocabulary, cache_words)
         end = np.array([end_id], "<u4").tobytes()
         packer = _Packer(TaskContext.get().partitionId() << 33, sentence_ends(coder.surface), size, penalties, max_run)
         held, amount = [], 0

@@ -27,10 +27,15 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
-def encoder(path: str) -> "Encoder":
+#: Words kept, unless more are asked for; about 250 bytes each.
+CACHE_WORDS = 900_000
+
+
+def encoder(path: str, cache_words: int = CACHE_WORDS) -> "Encoder":
     """The process's encoder for a vocabulary file: workers are reused, so is the cache."""
     if path not in _loaded:
         _loaded[path] = Encoder(path)
+    _loaded[path].cache_words = cache_words
     return _loaded[path]
 
 
@@ -41,8 +46,8 @@ def forget() -> None:
 
 
 class Encoder:
-    #: Words kept; about 250 bytes each. Beyond it the cache starts anew. With a batch more they just fit a dict of 2 ** 21 slots.
-    CACHE_WORDS = 1_350_000
+    #: Words kept. Beyond it the cache starts anew.
+    cache_words = CACHE_WORDS
     #: Words joined into one string for the library.
     JOINED = 200
 
@@ -114,7 +119,7 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each whole text as little-endian unsigned 32-bit integers; null is empty."""
         known = self.known
-        if len(known) > self.CACHE_WORDS:
+        if len(known) > self.cache_words:
             self.forget()
         # As if a line feed stood before each text: then each piece follows a space or begins with a line feed.
         split = [None if not t or "\n\n" in t or t[0] == "\n" else ("\n" + t.replace("\n", " \n")).split(" ") for t in texts]

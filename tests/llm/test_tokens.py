@@ -37,11 +37,14 @@ def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
-def test_a_million_words_stay_cached():
-    coder = tokens.Encoder(tokens.vocabulary_path())
+def test_a_million_words_stay_cached_if_asked_for():
+    path = tokens.vocabulary_path()
+    coder = tokens.encoder(path, cache_words=1_350_000)
     coder.known.update((str(k), b"") for k in range(1_200_000))
     coder.encode(["once"])
     assert len(coder.known) > 1_200_000
+    tokens.encoder(path).encode(["once"])
+    assert len(coder.known) < 1000
 
 
 def test_levels_round_trip_and_random_access():
